@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from marketlens.llm import mixing, pieces, toxicity
+from marketlens.llm import jaccard, lines, mixing, nearcopies, neighbours, pieces, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.query,
+    "op2_jaccard": jaccard.query,
     "op3_toxicity": toxicity.query,
+    "op4_quality": quality.query,
     "op5_mixing": mixing.query,
+    "op7_neighbours": neighbours.query,
+    "op8_lines": lines.query,
     "op9_sentencepiece": pieces.query,
+    "op10_nearcopies": nearcopies.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

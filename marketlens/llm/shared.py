@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than the six ASCII white-space characters.
@@ -92,3 +93,41 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     saved = scratch.save(both)
     scratch.drop(now)
     return saved
+
+
+def sharing(entries: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(sig, doc, extra, n, low, high) of the entries (sig, doc, extra) whose sig at least two different docs have."""
+    same = Window.partitionBy("sig")
+    known = entries.select("sig", "doc", *extra, F.count("*").over(same).alias("n"), F.min("doc").over(same).alias("low"), F.max("doc").over(same).alias("high"))
+    return known.where("n > 1 and low <> high")
+
+
+def connect(scratch: Scratch, entries: DataFrame, brief: DataFrame, bound: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the links among docs that share an entry, as sharing() gives them.
+
+    brief has doc_id and what bound(left, right), a cheap necessary condition on two aliases, needs; verified() keeps
+    the pairs (a, b) that link. Docs of an entry are first paired with its least and largest doc only. Then pairs in
+    different components are compared, starting from the side outside the entry's largest component: pairs inside a
+    component could not change it. So no link between components is lost and no group is expanded into all pairs.
+    """
+    ends = entries.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("doc").alias("b")), F.struct(F.col("doc").alias("a"), F.col("high").alias("b")))).alias("e"))
+    first = scratch.save(ends.select("e.*").where("a <> b").distinct())
+    of = lambda name: brief.select(F.col("doc_id").alias(f"{name}_id"), F.struct(*[c for c in brief.columns if c != "doc_id"]).alias(name))
+    near = first.join(of("p"), F.col("a") == F.col("p_id")).join(of("q"), F.col("b") == F.col("q_id")).where(bound("p", "q")).select("a", "b")
+    comp = components(scratch, verified(near))
+    per = comp.groupBy("component").agg(F.count("*").alias("members"))
+    named = comp.join(per, "component").select(F.col("node").alias("doc"), "component", "members")
+    rows = entries.select("sig", "doc").join(named, "doc", "left")
+    rows = rows.withColumns({"component": F.coalesce("component", "doc"), "members": F.coalesce("members", F.lit(1))})
+    same = Window.partitionBy("sig")
+    rows = rows.withColumns({"least": F.min("component").over(same), "most": F.max("component").over(same), "main": F.max(F.struct("members", "component")).over(same)["component"]})
+    mixed = scratch.save(rows.where("least <> most").select("sig", "doc", "component", "main"))
+    full = mixed.join(brief, F.col("doc") == F.col("doc_id"))
+    l, r = full.where("component <> main").alias("l"), full.alias("r")
+    once = (F.col("r.component") == F.col("l.main")) | (F.col("l.doc") < F.col("r.doc"))
+    pairs = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") != F.col("r.component")) & once & bound("l", "r"))
+    pairs = pairs.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct()
+    more = verified(scratch.save(pairs.join(first, ["a", "b"], "left_anti")))
+    final = components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    scratch.drop(first, mixed)
+    return final
