@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.llm import jaccard, lines, mixing, nearcopies, neighbours, pieces, quality, secrets, toxicity
+from marketlens.llm import jaccard, lines, mixing, nearcopies, neighbours, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_quality": quality.query,
     "op5_mixing": mixing.query,
+    "op6_suffixes": suffixes.query,
     "op7_neighbours": neighbours.query,
     "op8_lines": lines.query,
     "op9_sentencepiece": pieces.query,
