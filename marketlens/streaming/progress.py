@@ -44,7 +44,7 @@ class Heartbeat(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ended, last = False, self.last.get()[0] if self.last.exists() else 0
         for part in rows:
             ended |= bool((part["kind"] == self.terminal).any())
@@ -58,7 +58,7 @@ class Heartbeat(StatefulProcessor):
             self.handle.registerTimer(last + self.silence_ms)
         yield pd.DataFrame({"session_id": [], "silent_since": []}).astype({"session_id": "int64", "silent_since": "int64"})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"session_id": [key[0]], "silent_since": [self.last.get()[0]]})
         self.last.clear()
 
