@@ -25,6 +25,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, CAP = 1.5, 2.0
 #: Units that one task balances at once.
 BLOCK = 20_000
+#: A source of at most so many units is landed by comparing all choices.
+FEW = 12
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -84,11 +86,11 @@ def flight(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the last one or two fractional units, then flips the largest units that fit into what is still off.
-
-    A large unit that stayed fractional to the end can so move the words by no more than the smallest units here.
-    """
+    """Rounds the last one or two fractional units, then flips or swaps units that fit into what is still off."""
     free = np.flatnonzero((x > 0) & (x < 1))
+    if len(x) <= FEW:  # so few that all choices can be compared
+        options = (np.arange(2 ** len(x))[:, None] >> np.arange(len(x))) & 1
+        return options[np.argmin(np.abs((options - x) @ size))].astype(float)
     options = (np.arange(2 ** len(free))[:, None] >> np.arange(len(free))) & 1
     best = options[np.argmin(np.abs((options - x[free]) @ size[free]))]
     off = float((x[free] - best) @ size[free])
@@ -101,6 +103,19 @@ def landing(x: np.ndarray, size: np.ndarray) -> np.ndarray:
         i = can[np.argmax(size[can])]
         off += size[i] if off < 0 else -size[i]
         x[i] = 1 - x[i]
+    # then swaps of a taken unit with the one left out that fits best
+    for _ in range(4):
+        taken, out = np.flatnonzero(x == 1), np.flatnonzero((x == 0) & (size > 0))
+        if not off or not len(taken) or not len(out):
+            break
+        out = out[np.argsort(size[out], kind="stable")]
+        wish = size[taken] + off
+        at = np.searchsorted(size[out], wish)
+        pairs = [(abs(off - size[out[j]] + size[t]), int(t), int(out[j])) for t, a in zip(taken, at, strict=True) for j in (a - 1, a) if 0 <= j < len(out)]
+        left, t, o = min(pairs)
+        if left >= abs(off):
+            break
+        off, x[t], x[o] = off - size[o] + size[t], 0, 1
     return x
 
 

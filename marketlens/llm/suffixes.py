@@ -1,12 +1,13 @@
 """Suffix-array dedup by a distributed difference-cover algorithm.
 
-Texts are cut into phrases at content-defined anchors (minimisers), the same wherever the same bytes stand. Phrases
-that occur once cannot lie in a repeat and end a chunk; the rest is a string over phrase names. Its suffixes are sorted
-by the difference-cover algorithm: triples at positions 1 and 2 modulo 3 are sorted and named, the string of names is
-sorted by recursion, the remaining suffixes are placed by their first symbol and the rank behind it, and all are
-merged. Comparing adjacent suffixes gives how far each anchor repeats; only windows of 200 bytes that this allows are
-looked at as bytes: equal neighbourhoods settle all their windows at once, and the windows at the edges of repeats are
-sorted among each other and compared with their neighbours.
+Texts are sampled at content-defined anchors (minimisers), the same wherever the same bytes stand. Every window of 200
+bytes holds an anchor and a stretch of CORE bytes behind it, so stretches that occur once cannot lie in a repeat and end
+a chunk; the rest is a string over the names of stretches. Its suffixes are sorted by the difference-cover algorithm:
+triples at positions 1 and 2 modulo 3 are sorted and named, the string of names is sorted by recursion, the remaining
+suffixes are placed by their first symbol and the rank behind it, and all are merged. Comparing adjacent suffixes gives
+how far each anchor repeats; only windows of 200 bytes that this allows are looked at as bytes: equal neighbourhoods
+settle all their windows at once, and the windows at the edges of repeats are sorted among each other and compared with
+their neighbours.
 
 Equality is that of 64-bit hashes (96 bits for single windows). Nulls and edges: a null text counts as empty; texts of
 fewer than 200 bytes lose nothing; rows that repeat an id and a text are copies of each other; a null id is a document;
@@ -28,8 +29,6 @@ from marketlens.llm.shared import Scratch, if_small, table
 
 U = np.uint64
 LENGTH, GRAM, SPAN = 200, 8, 56
-#: A window that starts up to SPAN - 1 before its anchor shares all anchors up to this distance from its start.
-CERTAIN = LENGTH - GRAM - SPAN + 1
 #: Bytes behind an anchor that all windows of the anchor have.
 CORE = LENGTH - SPAN + 1
 
@@ -107,62 +106,58 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def phrases(units: DataFrame) -> DataFrame:
-    """(doc, idx, x, h, b): anchors of units (doc, text), with the hash and the length of the phrase to the next one."""
+def stretches(units: DataFrame) -> DataFrame:
+    """(h, doc, at) of units (doc, text): the hash of the stretch behind each anchor; at is its place and the distance to the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def batch_of(docs, spots, hs):
+            return pa.record_batch([pa.array(hs, pa.int64()), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(spots), pa.int64())], names=["h", "doc", "at"])
+
         for batch in batches:
-            docs, idx, xs, hs, bs = [], [], [], [], []
+            docs, spots, hs = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 at = minima(raw)
                 if not len(at):
                     continue
                 x = at[np.concatenate(([True], np.diff(at) > 0))]
-                spots = x.tolist()
-                hs += [_signed(xxhash.xxh3_64_intdigest(raw[p : q + GRAM])) for p, q in zip(spots, spots[1:])]  # noqa: B905
-                bs.append(np.diff(x))
-                xs.append(x[:-1])
-                idx.append(np.arange(len(x) - 1))
-                docs.append(np.full(len(x) - 1, doc))
+                x = x[x + CORE <= len(raw)]
+                hs += [_signed(xxhash.xxh3_64_intdigest(raw[p : p + CORE])) for p in x.tolist()]
+                spots.append(x << 8 | np.append(np.diff(x), 255)[: len(x)])  # no later anchor has a stretch: nothing bounds the last one
+                docs.append(np.full(len(x), doc))
                 if len(hs) > 200_000:
-                    yield _batch(docs, idx, xs, hs, bs)
-                    docs, idx, xs, hs, bs = [], [], [], [], []
+                    yield batch_of(docs, spots, hs)
+                    docs, spots, hs = [], [], []
             if hs:
-                yield _batch(docs, idx, xs, hs, bs)
-
-    def _batch(docs, idx, xs, hs, bs):
-        c = np.concatenate
-        return pa.record_batch([pa.array(c(docs), pa.int64()), pa.array(c(idx), pa.int32()), pa.array(c(xs), pa.int32()), pa.array(hs, pa.int64()), pa.array(c(bs), pa.int64())], names=["doc", "idx", "x", "h", "b"])
+                yield batch_of(docs, spots, hs)
 
-    return units.mapInArrow(run, "doc long, idx int, x int, h long, b long")
+    return units.mapInArrow(run, "h long, doc long, at long")
 
 
 def reaching(scratch: Scratch, units: DataFrame) -> DataFrame:
-    """(doc, spots): the anchors (x, e) of each document that repeat, with the end e of what they share with others."""
+    """(doc, spots): the anchors (x, e) of each document whose stretch repeats; e is the first anchor not shared with another place."""
     same = Window.partitionBy("h")
-    kept = scratch.save(phrases(units).withColumn("held", F.count("*").over(same)).where("held > 1").drop("held"))
-    by_doc = Window.partitionBy("doc").orderBy("idx")
-    runs = kept.withColumn("start", F.col("idx") - F.row_number().over(by_doc))
-    chunk = Window.partitionBy("doc", "start")
-    # a chunk whose bytes, with a phrase on both sides, don't reach the length can't hold a repeat
-    runs = runs.withColumn("size", F.sum("b").over(chunk)).where(f"size >= {CERTAIN - SPAN}")
-    runs = scratch.save(runs.withColumn("i", F.row_number().over(chunk.orderBy("idx")) - 1).drop("size"))
+    kept = stretches(units).withColumn("held", F.count("*").over(same)).where("held > 1")
+    kept = scratch.save(kept.select("h", "doc", F.shiftright("at", 8).cast("int").alias("x"), F.col("at").bitwiseAND(F.lit(255)).alias("b")))
+    by_doc = Window.partitionBy("doc").orderBy("x")
+    runs = kept.withColumn("new", F.coalesce(F.lag(F.col("x") + F.col("b")).over(by_doc) != F.col("x"), F.lit(True)))
+    runs = runs.withColumn("start", F.count_if("new").over(by_doc))
+    runs = scratch.save(runs.withColumn("i", F.row_number().over(Window.partitionBy("doc", "start").orderBy("x")) - 1).drop("new"))
     chunks = scratch.save(runs.groupBy("doc", "start").agg(F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
-    # names of phrases are their hashes without the sign; ends of chunks are negative numbers of their own
-    keyed = runs.join(chunks, ["doc", "start"])
-    symbols = keyed.select("cid", F.col("i").cast("long").alias("i"), F.shiftrightunsigned("h", 1).alias("s"), "b")
+    # symbols are hashes without the sign; ends of chunks are negative numbers of their own
+    keyed = scratch.save(runs.join(chunks, ["doc", "start"]).select("cid", F.col("i").cast("long").alias("i"), "doc", "x", "h", "b"))
+    symbols = keyed.select("cid", "i", F.shiftrightunsigned("h", 1).alias("s"), "b")
     ends = chunks.select("cid", F.col("n").alias("i"), (-2 - F.col("cid")).alias("s"), F.lit(0).cast("long").alias("b"))
     order = suffix_order(scratch, symbols.unionByName(ends), LENGTH + SPAN)
     ahead = Window.partitionBy("cid").orderBy("x").rangeBetween(0, LENGTH)
-    coming = keyed.withColumn("coming", F.collect_list(F.struct("x", "b", "h")).over(ahead)).select("cid", "doc", "x", F.col("i").cast("long").alias("i"), "coming")
+    coming = keyed.select("cid", "i", "doc", "x", F.collect_list(F.struct("h", "b")).over(ahead).alias("coming"))
     rows = order.where("s >= 0").join(coming, ["cid", "i"])
     near = Window.partitionBy("s").orderBy("rank")
 
     def shared(other: Column) -> Column:
-        """Bytes of the phrases that two adjacent suffixes have in common from the start."""
+        """Bytes from an anchor to the first one that an adjacent suffix doesn't share."""
         pairs = F.zip_with("coming", other, lambda p, q: F.when(p["h"] == q["h"], p["b"]))
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("on"))
         step = lambda a, b: F.struct((a["n"] + F.when(a["on"] & b.isNotNull(), b).otherwise(F.lit(0).cast("long"))).alias("n"), (a["on"] & b.isNotNull()).alias("on"))
@@ -170,10 +165,8 @@ def reaching(scratch: Scratch, units: DataFrame) -> DataFrame:
 
     rows = rows.withColumns({"before": F.lag("coming").over(near), "after": F.lead("coming").over(near)})
     far = rows.select("doc", "x", (F.col("x") + F.greatest(shared(F.col("before")), shared(F.col("after")))).cast("int").alias("e"))
-    # the least start of a window of the anchor is SPAN - 1 before it
-    far = far.where(F.col("e") - CERTAIN >= F.col("x") - SPAN + 1)
-    out = scratch.save(far.groupBy("doc").agg(F.collect_list(F.struct("x", "e")).alias("spots")))
-    scratch.drop(kept, runs, chunks, order)
+    out = scratch.save(far.where("e > x").groupBy("doc").agg(F.collect_list(F.struct("x", "e")).alias("spots")))
+    scratch.drop(kept, runs, chunks, keyed, order)
     return out
 
 
@@ -191,7 +184,7 @@ def neighbourhoods(units: DataFrame) -> DataFrame:
                 for spot in spots:
                     x = spot["x"]
                     first, end = np.searchsorted(at, (x, x + 1)).tolist()
-                    last = min(end - 1, spot["e"] - CERTAIN)
+                    last = min(end - 1, spot["e"] - SPAN)  # all anchors up to SPAN - 1 behind a start have their stretch in the window
                     if first <= last:
                         u = xxhash.xxh3_64_intdigest(raw[first : last + LENGTH], x - first)
                         rows.append((doc, x, first, last, _signed(u), _signed(xxhash.xxh3_64_intdigest(raw[x : x + CORE]))))

@@ -41,7 +41,7 @@ def check(spark, docs, block=mixing.BLOCK):
 
 def test_whole_table(spark, sf):
     taken, want, _ = check(spark, spark.read.parquet(f"{sf}/documents.parquet"))
-    assert all(abs(taken[s] - want[s]) <= max(30, 0.02 * want[s]) for s in want)
+    assert all(abs(taken[s] - want[s]) <= max(60, 0.02 * want[s]) for s in want)
 
 
 def test_blocks_nulls_and_repeated_rows(spark):
