@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -39,10 +40,12 @@ class Scratch:
         return saved
 
     def drop(self, *saved: DataFrame) -> None:
-        """Removes tables that no later plan reads."""
+        """Removes tables that no later plan reads, and lets Spark's cleaner remove the shuffles that made them."""
         for df in saved:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,7 +16,6 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -73,7 +72,6 @@ def suffix_order(scratch: Scratch, symbols: DataFrame, enough: int | None = None
     merged = placed.unionByName(sampled).sort("s", "place", "late", "r1")
     out = scratch.save(merged.select("cid", "i", "s", F.monotonically_increasing_id().alias("rank")))
     scratch.drop(symbols, names, named, known)
-    gc.collect()
     return out
 
 
