@@ -195,7 +195,9 @@ def train(docs: DataFrame, sample: DataFrame, seed: int = 7, epochs: int = 6, ca
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang")).join(F.broadcast(sample), "doc_id")
     got = rows.select("doc_id", "text", "lang", "y").mapInArrow(hashed, "doc_id long, w array<int>, lang string, y int").toArrow().sort_by("doc_id")
-    texts = [np.array(x, np.int64).reshape(-1, 3) for x in got.column("w").to_pylist()]
+    held_words = got.column("w").combine_chunks()
+    flat, ends = held_words.flatten().to_numpy(), np.cumsum([0, *held_words.value_lengths().to_pylist()])
+    texts = [flat[a:b].reshape(-1, 3) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     y, langs = np.array(got.column("y").to_pylist(), float), np.array([x or "" for x in got.column("lang").to_pylist()], object)
     if not len(y):
         return _fit([np.zeros((0, 3), np.int64)], np.zeros(1), seed, 0)
