@@ -31,7 +31,8 @@ U = np.uint64
 MOST_MEMO = 300_000
 #: A segment is crowded if its pairs are so many times the median of its band and outweigh what is indexed instead.
 CROWDED = 8
-SKETCH = [f"s{i}" for i in range(4)]
+#: Parity sketch of a set: 1,024 bits.
+SKETCH = [f"s{i}" for i in range(16)]
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -129,11 +130,11 @@ def _describe(words: int, with_set: bool):
             for t in batch.column(1).to_pylist():
                 h = shingler(t)
                 n.append(len(h))
-                parity = np.packbits((np.bincount((h & U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+                parity = np.packbits((np.bincount((h & U(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1).astype(np.uint8)).view(np.int64)
                 prints.append([*_signed(np.array([mix(h + U(2)).sum(dtype=U), mix(h + U(3)).sum(dtype=U)])), *parity])
                 if with_set:
                     sets.append(_signed(h))
-            parts = np.array(prints, np.int64).reshape(-1, 6).T
+            parts = np.array(prints, np.int64).reshape(-1, 2 + len(SKETCH)).T
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, np.ascontiguousarray(parts)), *([pa.array(sets, pa.list_(pa.int64()))] if with_set else [])], names=["doc_id", "n", "f1", "f2", *SKETCH, *["tokens"] * with_set])
 
     return run
@@ -199,9 +200,9 @@ class Join:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(all documents described, one row for each different set with its least id)."""
-        features = self.scratch.save(described(self.docs, self.words))
-        per = features.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
-        return features, self.scratch.save(per)
+        full = self.scratch.save(described(self.docs, self.words))
+        per = full.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"), *[F.first(c).alias(c) for c in SKETCH])
+        return full.select("doc_id", "n", "f1", "f2"), self.scratch.save(per)
 
     def index(self, features: DataFrame, classes: DataFrame) -> DataFrame:
         copies = features.join(classes, ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id").distinct()
@@ -214,8 +215,10 @@ class Join:
         for n, count in zip(sizes["n"], sizes["count"], strict=True):
             per_band[self.bands.of(n)] = per_band.get(self.bands.of(n), 0) + int(count)
         left_out, doubled = allocate(cells, self.bands, per_band)
+        self.indexes = [entries]
         if left_out:
             more = self.scratch.save(indexed(docs, self.words, self.bands, doubled))
+            self.indexes.append(more)
             entries = entries.where(~F.col("cell").isin(left_out)).unionByName(more)
         return entries
 
@@ -224,22 +227,28 @@ class Join:
         apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
         return apart * (self.den + self.num) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num)
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets link."""
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets link. Only the texts of these pairs are cut into shingles again."""
+        pairs = self.scratch.save(pairs)
+        ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        there = self.docs.join(if_small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = self.scratch.save(described(there, self.words, True).select("doc_id", "tokens"))
         of = lambda name: sets.select(F.col("doc_id").alias(f"{name}_id"), F.col("tokens").alias(name))
         both = pairs.join(of("x"), F.col("a") == F.col("x_id")).join(of("y"), F.col("b") == F.col("y_id"))
         common = F.size(F.array_intersect("x", "y"))
-        return both.where(common * self.den >= (F.size("x") + F.size("y") - common) * self.num).select("a", "b")
+        linked = self.scratch.save(both.where(common * self.den >= (F.size("x") + F.size("y") - common) * self.num).select("a", "b"))
+        self.scratch.drop(pairs, ids, sets)
+        return linked
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row for each row."""
         save = self.scratch.save
         features, classes = self.classes()
         entries = self.index(features, classes)
-        shared = save(entries.select(F.col("doc").alias("doc_id")).distinct())
-        sets = save(described(self.docs.join(if_small(shared), "doc_id", "left_semi").dropDuplicates(["doc_id"]), self.words, True))
-        brief, tokens = sets.select("doc_id", "n", *SKETCH), sets.select("doc_id", "tokens")
-        final = connect(self.scratch, entries, brief, self.bound, lambda pairs: self.verified(pairs, tokens))
+        brief = classes.select(F.col("rep").alias("doc_id"), "n", *SKETCH).join(entries.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        brief = save(brief)
+        final = connect(self.scratch, entries, brief, self.bound, self.verified)
+        self.scratch.drop(brief, *self.indexes)
         of_class = classes.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
         out = features.join(of_class, ["f1", "f2", "n"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
