@@ -48,9 +48,14 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast when it was counted to hold at most so many rows, else unmarked (a shuffled join follows)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def if_small(df: DataFrame, wide: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast when it was counted to hold at most so many rows, else unmarked (a shuffled join follows).
+
+    wide: an array column, whose elements are counted instead of rows.
+    """
+    if wide is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(F.size(wide))).first()[0] or 0) + df.limit(most + 1).count() <= most else df
 
 
 def bucket_of(column: str | Column, modulus: int) -> Column:

@@ -30,6 +30,8 @@ U = np.uint64
 LENGTH, GRAM, SPAN = 200, 8, 56
 #: Bytes behind an anchor that all windows of the anchor have.
 CORE = LENGTH - SPAN + 1
+#: The order of suffixes that agree over so many bytes doesn't matter: more than a span bounds no window.
+ENOUGH = 2 * SPAN
 
 
 # --- difference cover ---------------------------------------------------------------------------------------------
@@ -148,8 +150,8 @@ def reaching(scratch: Scratch, units: DataFrame) -> DataFrame:
     keyed = scratch.save(runs.join(chunks, ["doc", "start"]).select("cid", F.col("i").cast("long").alias("i"), "doc", "x", "h", "b"))
     symbols = keyed.select("cid", "i", F.shiftrightunsigned("h", 1).alias("s"), "b")
     ends = chunks.select("cid", F.col("n").alias("i"), (-2 - F.col("cid")).alias("s"), F.lit(0).cast("long").alias("b"))
-    order = suffix_order(scratch, symbols.unionByName(ends), LENGTH + SPAN)
-    ahead = Window.partitionBy("cid").orderBy("x").rangeBetween(0, LENGTH)
+    order = suffix_order(scratch, symbols.unionByName(ends), ENOUGH)
+    ahead = Window.partitionBy("cid").orderBy("x").rangeBetween(0, SPAN)  # sharing more than a span bounds no window
     coming = keyed.select("cid", "i", "doc", "x", F.collect_list(F.struct("h", "b")).over(ahead).alias("coming"))
     rows = order.where("s >= 0").join(coming, ["cid", "i"])
     near = Window.partitionBy("s").orderBy("rank")
@@ -211,13 +213,13 @@ def windows(units: DataFrame) -> DataFrame:
 def repeated(scratch: Scratch, units: DataFrame) -> DataFrame:
     """(doc, ranges): inclusive ranges of starts of windows that occur elsewhere, for units (doc, text) of different texts."""
     spots = reaching(scratch, units)
-    near = scratch.save(neighbourhoods(units.join(if_small(spots), "doc")))
+    near = scratch.save(neighbourhoods(units.join(if_small(spots, "spots"), "doc")))
     same, group = Window.partitionBy("core", "u"), Window.partitionBy("core")
     near_all = near.withColumns({"held": F.count("*").over(same), "turn": F.row_number().over(same.orderBy("doc", "x"))})
     near_all = scratch.save(near_all.withColumns({"edge": F.min("held").over(group) == 1, "size": F.count("*").over(group)}))
     whole = near_all.where("held > 1").select("doc", "first", "last")
     open_ = near_all.where("edge and size > 1 and turn = 1").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    cut = windows(units.join(if_small(scratch.save(open_)), "doc"))
+    cut = windows(units.join(if_small(scratch.save(open_), "ranges"), "doc"))
     twice = cut.withColumn("held", F.count("*").over(Window.partitionBy("h1", "h2"))).where("held > 1")
     single = twice.select("doc", F.col("p").alias("first"), F.col("p").alias("last"))
     by_start = single.withColumn("run", F.col("first") - F.row_number().over(Window.partitionBy("doc").orderBy("first")))
@@ -269,7 +271,7 @@ def dedup_substrings(scratch: Scratch, docs: DataFrame) -> DataFrame:
         units = units.dropDuplicates(["doc"])
     found = repeated(scratch, units)
     ranges = classes.where("copies > 1").select("doc", "copies").join(found, "doc", "full_outer")
-    both = docs.join(if_small(scratch.save(ranges)), "doc", "left")
+    both = docs.join(if_small(scratch.save(ranges), "ranges"), "doc", "left")
     return removal(both.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "ranges"))
 
 

@@ -105,7 +105,8 @@ def _fit(texts: list[np.ndarray], y: np.ndarray, seed: int, epochs: int, rate: f
     for x in w:
         x[:, 0] = np.abs(x[:, 0])
     model = Model(known, [], [np.zeros(FILTERS) for _ in WIDTHS], np.full(FILTERS * len(WIDTHS), 0.3), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
-    docs = [model.rows(t) for t in texts]
+    docs = [model.rows(t).astype(np.int32) for t in texts]
+    del per_doc, where, n, pos, frequent
     params = [e, *w, *model.bias, model.out]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     out_bias, b1, b2 = model.out_bias, 0.9, 0.99
