@@ -34,18 +34,22 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._scratch_path = path
+        self._clean()
         return saved
 
+    def _clean(self) -> None:
+        """Lets Spark's cleaner remove the shuffles of what is written, which no plan reads again."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *saved: DataFrame) -> None:
-        """Removes tables that no later plan reads, and lets Spark's cleaner remove the shuffles that made them."""
+        """Removes tables that no later plan reads."""
         for df in saved:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
 
 
 def if_small(df: DataFrame, wide: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
