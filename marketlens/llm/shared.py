@@ -37,7 +37,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._scratch_path = path
-        self._clean()
         return saved
 
     def _clean(self) -> None:
@@ -50,6 +49,7 @@ class Scratch:
         for df in saved:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._clean()
 
 
 def if_small(df: DataFrame, wide: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
