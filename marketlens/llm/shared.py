@@ -67,10 +67,15 @@ def bucket_of(column: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % modulus
 
 
+def labelled(spark, sf_dir, label: str, modulus: int, held: int) -> DataFrame:
+    """(doc_id, y): the labels outside the held-out fold."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
+    return rows.where(bucket_of("doc_id", modulus) != held)
+
+
 def labelled_sample(spark, sf_dir, label: str, modulus: int, held: int, positives: int, negatives: int) -> DataFrame:
     """(doc_id, y): at most so many rows of each class outside the held-out fold, by the order of a hash of the id."""
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
-    rows = rows.where(bucket_of("doc_id", modulus) != held)
+    rows = labelled(spark, sf_dir, label, modulus, held)
     take = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     return take(1, positives).unionByName(take(0, negatives))
 

@@ -2,7 +2,8 @@
 
 A word is the sum of hashed embeddings (the word and its first four and five bytes). Filters over one, two and three
 words are max-pooled over the whole text, and a logistic layer turns the pooled values into a score, which a held
-part of the sample calibrates; thresholds are chosen for each language on that part. Scoring needs no language.
+part of the sample calibrates; thresholds are chosen for each language on that part. Both weight the classes to their
+shares among all labels, as the sample takes so many rows of each class. Scoring needs no language.
 
 Nulls and edges: null and empty texts get the score of a text without known words; a null id scores like any other
 and is not held out; repeated rows give repeated rows; other columns are ignored.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import bucket_of, labelled_sample, table
+from marketlens.llm.shared import bucket_of, labelled, labelled_sample, table
 
 #: Rows of the labelled sample that the classifier is fitted on, at most, by class.
 POSITIVES, NEGATIVES = 2500, 4500
@@ -163,26 +164,29 @@ def _logit_of(model: Model, words: np.ndarray) -> float:
     return float(np.concatenate(pooled) @ model.out + model.out_bias)
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (kept positive) and shift of a logistic curve through the logits."""
+def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope (kept positive) and shift of a logistic curve through the logits; w weights the rows."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        q = p * (1 - p) + 1e-6
-        grad = np.array([((p - y) * z).sum() + 1e-2 * (a - 1), (p - y).sum() + 1e-2 * b])
+        q = w * (p * (1 - p) + 1e-6)
+        grad = np.array([(w * (p - y) * z).sum() + 1e-2 * (a - 1), (w * (p - y)).sum() + 1e-2 * b])
         hess = np.array([[(q * z * z).sum() + 1e-2, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-2]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, grad), -1, 1)
         a = max(a, 0.05)
     return float(a), float(b)
 
 
-def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 among round values; the higher one on ties."""
-    return max((2 * (y[score >= t].sum()) / max(1, (score >= t).sum() + y.sum()), t) for t in np.arange(0.2, 0.81, 0.05))[1]
+def _best_threshold(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The threshold with the best F1 of the weighted rows among round values; the higher one on ties."""
+    return max((2 * (w * y)[score >= t].sum() / max(1e-9, w[score >= t].sum() + (w * y).sum()), t) for t in np.arange(0.2, 0.81, 0.05))[1]
 
 
-def train(docs: DataFrame, sample: DataFrame, seed: int = 7, epochs: int = 6, calibrate: float = 0.2) -> Model:
-    """Fits on sample (doc_id, y), bounded by its caller, joined with the texts. Words are hashed on the executors."""
+def train(docs: DataFrame, sample: DataFrame, seed: int = 7, epochs: int = 6, calibrate: float = 0.2, prior: float | None = None) -> Model:
+    """Fits on sample (doc_id, y), bounded by its caller, joined with the texts. Words are hashed on the executors.
+
+    prior: the share of label 1 that the sample was drawn from; the calibrating rows are weighted to it.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple] = {}
@@ -207,12 +211,14 @@ def train(docs: DataFrame, sample: DataFrame, seed: int = 7, epochs: int = 6, ca
     model = _fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held], seed, epochs)
     if held.any():
         z = np.array([_logit_of(model, t) for t, h in zip(texts, held, strict=True) if h])
-        model.scale = _platt(z, y[held])
+        share = y.mean()
+        weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) if prior and 0 < prior < 1 and 0 < share < 1 else np.ones(len(y))
+        model.scale = _platt(z, y[held], weight[held])
         s = model.scores(z)
         for name in sorted(set(langs[held])):
             own = langs[held] == name
             if y[held][own].sum() >= 5:
-                model.thresholds[name] = float(_best_threshold(s[own], y[held][own]))
+                model.thresholds[name] = float(_best_threshold(s[own], y[held][own], weight[held][own]))
     return model
 
 
@@ -230,7 +236,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def trained(spark, sf_dir: str, docs: DataFrame) -> Model:
-    return train(docs, labelled_sample(spark, sf_dir, "toxic", MODULUS, HELD, POSITIVES, NEGATIVES))
+    share = labelled(spark, sf_dir, "toxic", MODULUS, HELD).where("y in (0, 1)").agg(F.avg("y")).first()[0]
+    return train(docs, labelled_sample(spark, sf_dir, "toxic", MODULUS, HELD, POSITIVES, NEGATIVES), prior=share)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
