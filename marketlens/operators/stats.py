@@ -101,7 +101,10 @@ def cap_pages(pages, per_domain: int = 100, per_category: int = 100, approx: boo
         return rows.loc[keep, ["session_id", "id"]]
 
     # no more than per_domain pages of a domain and per_category of a category can stay, whatever the others do
+    # so of a domain and category no page behind the first so many stays, as each before it stayed or met a full cap
     narrow = pages.select("session_id", "id", "domain", "primary_category", "score")
+    pair = Window.partitionBy("session_id", "domain", "primary_category").orderBy(F.desc_nulls_last(F.nanvl("score", F.lit(None))), "id")  # as the walk sorts
+    narrow = narrow.withColumn("place", F.row_number().over(pair)).where(F.col("place") <= min(per_domain, per_category)).drop("place")
     kept = narrow.groupBy("session_id").applyInPandas(walk, "session_id int, id long")
     return pages.join(kept, ["session_id", "id"], "left_semi")
 
