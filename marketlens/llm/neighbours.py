@@ -160,7 +160,8 @@ def nearest(scratch: Scratch, vectors: DataFrame, every: int = EVERY, k: int = K
     placed = scratch.save(rows.select("vec_id", "dim", "embedding").mapInPandas(place, "vec_id long, dim int, embedding array<double>, cell int"))
     sized = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     held = placed.join(sized, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    asked = placed.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").withColumn("reached", F.lit(None).cast("double"))
+    asked = scratch.save(placed.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id", "dim"]))
+    asked = asked.withColumn("reached", F.lit(None).cast("double"))
     fields = "query_id long, dim int, vec_id long, score double"
 
     def answered(asks: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def nearest(scratch: Scratch, vectors: DataFrame, every: int = EVERY, k: int = K
                 out.append(mine.iloc[i][["query_id", "dim", "embedding"]].assign(cell=cell.astype("int32"), reached=mine["kth"].to_numpy()[i]))
             yield pd.concat(out) if out else part.iloc[:0][["query_id", "dim", "embedding"]].assign(cell=0, reached=0.0)
 
-    more = asked.drop("reached").dropDuplicates(["query_id", "dim"]).join(reached, ["query_id", "dim"], "left")
+    more = asked.drop("reached").join(reached, ["query_id", "dim"], "left")
     more = more.mapInPandas(visits, "query_id long, dim int, embedding array<double>, cell int, reached double")
     both = first.drop("rank").unionByName(answered(more))
     ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
