@@ -119,7 +119,7 @@ def filter_funnel(pages, threshold: float = 0.5, per_domain: int = 100, per_cate
     count = lambda df, name: df.groupBy("session_id").agg(F.count("*").alias(name))
     unique = dedupe_pages(high)
     out = count(pages, "rows_in")
-    for df, name in ((high, "scored"), (unique, "unique_pages"), (cap_pages(unique, per_domain, per_category, approx=True), "capped")):
+    for df, name in ((high, "scored"), (unique, "unique_pages"), (cap_pages(unique, per_domain, per_category), "capped")):
         out = out.join(count(df, name), "session_id", "left")
     return out.na.fill(0)
 

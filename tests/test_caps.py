@@ -26,3 +26,12 @@ def test_walk_sees_a_bounded_number_of_pages_and_stays_exact(spark):
         out = stats.cap_pages(df, *caps)
         assert "row_number" in out._jdf.queryExecution().optimizedPlan().toString()
         assert sorted((r.session_id, r.id) for r in out.collect()) == walk(rows, *caps)
+
+
+def test_funnel_counts_what_the_selection_keeps(spark):
+    rows, df = pages(spark)
+    df = df.selectExpr("*", "concat('u', id) as canonical_url", "concat('u', id) as url", "timestamp_ntz'2024-01-01' as crawled_at")
+    kept = walk([r for r in rows if r[4] >= 0.5], 6, 9)
+    got = {r.session_id: r.capped for r in stats.filter_funnel(df, 0.5, 6, 9).collect()}
+    assert got == {s: sum(k[0] == s for k in kept) for s in (0, 1)}
+    assert stats.select_pages(df, 0.5, 6, 9).count() == len(kept)
