@@ -1,8 +1,8 @@
 """N-gram Jaccard join by partitioning the universe of shingles.
 
 Documents become sets of word shingles (64-bit hashes). Equal sets are one class. For each size band the hash range is
-cut into segments, one more than the largest symmetric difference that two linked sets of the band may have, so that
-linked sets agree on at least one segment (pigeonhole). Sets are indexed by the subset that falls into each segment.
+cut into segments, more than the largest symmetric difference that two linked sets of the band may have, so that linked
+sets agree on at least one segment (pigeonhole), and on one that is not empty where segments are to spare. Sets are indexed by the subset that falls into each segment.
 Where the counts over all documents show a segment to be far more crowded than others of its band, the allocation
 moves its share to uncrowded ones, which then also index their one-deletion neighbourhoods and so tolerate one
 difference. Candidates pass an exact lower bound of the difference (parity sketches) and are verified on the sets.
@@ -18,6 +18,7 @@ as their size asks for; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +77,7 @@ class Bands:
     """Size bands for links of at least num / den: linked sets lie in one band or in adjacent ones."""
 
     def __init__(self, num: int, den: int, most: int = 1 << 31):
-        self.num, self.den, self.edges = num, den, [1]
+        self.num, self.den, self.edges, self.cut = num, den, [1], {}
         while self.edges[-1] < most:
             self.edges.append(self.edges[-1] * den // num + 1)
 
@@ -88,12 +89,30 @@ class Bands:
         return total * (self.den - self.num) // (self.den + self.num)
 
     def segments(self, tag: int) -> int:
-        """Segments for pairs whose larger set is in band tag; 1 means that only equal sets link."""
-        return self.difference(2 * (self.edges[tag + 1] - 1)) + 1
+        """Segments for pairs whose larger set is in band tag; 1 means that only equal sets link.
+
+        One more than the largest difference, and as many more as are likely to be empty.
+        """
+        if tag not in self.cut:
+            m = least = self.difference(2 * (self.edges[tag + 1] - 1)) + 1
+            empty = lambda m: m * math.exp(-self.edges[tag] / m)
+            while m > 1 and m - least < empty(m) + 2 * math.sqrt(empty(m)) - 0.1:
+                m += 1
+            self.cut[tag] = m
+        return self.cut[tag]
+
+    def spare(self, n: int, tag: int) -> int:
+        """Segments beyond one more than the largest difference that a set of n elements can have to one it links with."""
+        other = min(self.edges[tag + 1] - 1, n * self.den // self.num)
+        return self.segments(tag) - 1 - self.difference(n + other)
 
 
 def signatures(h: np.ndarray, bands: Bands, doubled: dict[int, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, cells) of a set; a cell is a band and a segment. doubled: only these segments, with deletions."""
+    """(signatures, cells) of a set; a cell is a band and a segment. doubled: only these segments, with deletions.
+
+    Empty segments are alike in many sets. They are left out of sets that have no more of them than spare segments, as
+    such a set and one it links with still agree on another segment.
+    """
     sums, found, cells = np.concatenate((np.zeros(1, U), np.cumsum(mix(h + U(1)), dtype=U))), [], []
     own = bands.of(len(h))
     for tag in (own, own + 1):
@@ -103,6 +122,8 @@ def signatures(h: np.ndarray, bands: Bands, doubled: dict[int, list[int]] | None
         segment = ((h >> U(32)) * U(m)) >> U(32)
         at = np.searchsorted(segment, np.arange(m + 1, dtype=U))
         n, total, cell = np.diff(at), sums[at[1:]] - sums[at[:-1]], np.arange(m) + (tag << 32)
+        if doubled is None and 0 < np.count_nonzero(n == 0) <= bands.spare(len(h), tag):
+            n, total, cell = n[n > 0], total[n > 0], cell[n > 0]
         if doubled is not None:
             chosen = np.array(doubled[tag], np.int64)
             inside = [np.arange(at[s], at[s + 1]) for s in chosen]
@@ -148,7 +169,7 @@ def described(docs: DataFrame, words: int, with_set: bool = False) -> DataFrame:
 
 
 def indexed(docs: DataFrame, words: int, bands: Bands, doubled: dict[int, list[int]] | None = None) -> DataFrame:
-    """(sig, doc, cell, n, low, high): index entries that at least two documents share, with what shares them."""
+    """(sig, doc, cell): the index entries of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -168,7 +189,7 @@ def indexed(docs: DataFrame, words: int, bands: Bands, doubled: dict[int, list[i
             if held:
                 yield pa.record_batch(list(map(pa.array, map(np.concatenate, (sigs, ids, cells)))), names=["sig", "doc", "cell"])
 
-    return sharing(docs.mapInArrow(run, "sig long, doc long, cell long"), ("cell",))
+    return docs.mapInArrow(run, "sig long, doc long, cell long")
 
 
 def allocate(cells, bands: Bands, docs_of_band: dict[int, int]) -> tuple[list[int], dict[int, list[int]]]:
@@ -207,20 +228,25 @@ class Join:
     def index(self, features: DataFrame, classes: DataFrame) -> DataFrame:
         copies = features.join(classes, ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id").distinct()
         docs = self.docs.where("doc_id is not null").join(if_small(self.scratch.save(copies)), "doc_id", "left_anti")
-        entries = self.scratch.save(indexed(docs, self.words, self.bands))
-        pairs = entries.groupBy("cell").agg(F.sum((F.col("n") - 1) / 2).alias("pairs"))
+        held, cell = F.count("*").alias("n"), F.max("cell").alias("cell")
+        raw = self.scratch.save(indexed(docs, self.words, self.bands))
+        entries, per = sharing(self.scratch, raw, held, cell)
+        self.scratch.drop(raw)
+        pairs = per.groupBy("cell").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
         cells = pairs.where(f"pairs > {CROWDED}").toPandas()  # at most as many as the largest document has segments, by band
         sizes = classes.groupBy("n").count().toPandas()
         per_band: dict[int, int] = {}
         for n, count in zip(sizes["n"], sizes["count"], strict=True):
             per_band[self.bands.of(n)] = per_band.get(self.bands.of(n), 0) + int(count)
         left_out, doubled = allocate(cells, self.bands, per_band)
-        self.indexes = [entries]
         if left_out:
-            more = self.scratch.save(indexed(docs, self.words, self.bands, doubled))
-            self.indexes.append(more)
-            entries = entries.where(~F.col("cell").isin(left_out)).unionByName(more)
-        return entries
+            raw = self.scratch.save(indexed(docs, self.words, self.bands, doubled))
+            more, _ = sharing(self.scratch, raw)
+            self.scratch.drop(raw)
+            out = self.docs.sparkSession.createDataFrame([(c,) for c in left_out], "cell long")
+            entries = entries.join(F.broadcast(out), "cell", "left_anti").unionByName(more)
+        self.scratch.drop(per)
+        return entries.select("sig", "doc", "low", "high")
 
     def bound(self, a: str, b: str):
         """False if the parity sketches show the difference to be too large for a link."""
@@ -248,7 +274,7 @@ class Join:
         brief = classes.select(F.col("rep").alias("doc_id"), "n", *SKETCH).join(entries.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
         brief = save(brief)
         final = connect(self.scratch, entries, brief, self.bound, self.verified)
-        self.scratch.drop(brief, *self.indexes)
+        self.scratch.drop(brief)
         of_class = classes.join(final, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
         out = features.join(of_class, ["f1", "f2", "n"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
