@@ -91,14 +91,13 @@ class Bands:
     def segments(self, tag: int) -> int:
         """Segments for pairs whose larger set is in band tag; 1 means that only equal sets link.
 
-        One more than the largest difference, and as many more as are likely to be empty.
+        One more than the largest difference, and as many more as are likely to be empty where a third more will do.
         """
         if tag not in self.cut:
-            m = least = self.difference(2 * (self.edges[tag + 1] - 1)) + 1
+            least = self.difference(2 * (self.edges[tag + 1] - 1)) + 1
             empty = lambda m: m * math.exp(-self.edges[tag] / m)
-            while m > 1 and m - least < empty(m) + 2 * math.sqrt(empty(m)) - 0.1:
-                m += 1
-            self.cut[tag] = m
+            enough = (m for m in range(least, least * 4 // 3 + 2) if m - least >= empty(m) + 2 * math.sqrt(empty(m)) - 0.1)
+            self.cut[tag] = 1 if least == 1 else next(enough, least)
         return self.cut[tag]
 
     def spare(self, n: int, tag: int) -> int:
