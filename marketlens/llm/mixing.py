@@ -1,13 +1,15 @@
 """Mixing sources to target weights by the cube method.
 
 Every source gets a number of words to contribute. Its documents start with the same fractional inclusion
-probability and are then moved, three at a time, through the null space of the balancing constraints (words and
-documents of the source stay constant) until a probability reaches 0 or 1. Blocks of bounded size do this
-independently; the at most two units that a block leaves go on to the next level, and only the last two of each
-source are rounded (landing).
-
-Nulls and edges: a null text counts 0 words and is never taken; a null source is a source of its own and comes last;
-repeated rows are units of their own; an empty table gives no rows; other columns are ignored.
+probability and are then moved, three at a time and large ones first, through the null space of the balancing
+constraints (words and documents of the source stay constant) until a probability reaches 0 or 1. Blocks of bounded
+size do this independently; the at most two units that a block leaves go on to the next level, and only the last two of
+each source are rounded (landing), to what is nearest in words, then in documents.
+
+Nulls and edges: a null or empty text counts 0 words, is taken as often as is certain and never selected beyond it; a null source is a source of its own and comes last;
+repeated rows are units of their own, dealt to blocks apart; rows that share an id only are different units; an empty
+table gives no rows; other columns are ignored. Only the totals of the sources, one row for each, are sorted in one
+task. Reruns agree (where rows repeat an id, a text and a source: over the same files and settings).
 """
 
 from __future__ import annotations
@@ -25,12 +27,11 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, CAP = 1.5, 2.0
 #: Units that one task balances at once.
 BLOCK = 20_000
-#: A source of at most so many units is landed by comparing all choices.
-FEW = 12
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, of, source, size): of is a hash of the text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("of"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(units: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -86,42 +87,18 @@ def flight(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the last one or two fractional units, then flips or swaps units that fit into what is still off."""
+    """Rounds the last one or two fractional units: the choice nearest to the total of words, then to that of units."""
     free = np.flatnonzero((x > 0) & (x < 1))
-    if len(x) <= FEW:  # so few that all choices can be compared
-        options = (np.arange(2 ** len(x))[:, None] >> np.arange(len(x))) & 1
-        return options[np.argmin(np.abs((options - x) @ size))].astype(float)
     options = (np.arange(2 ** len(free))[:, None] >> np.arange(len(free))) & 1
-    best = options[np.argmin(np.abs((options - x[free]) @ size[free]))]
-    off = float((x[free] - best) @ size[free])
+    off = options - x[free]
     x = x.copy()
-    x[free] = best
-    for _ in range(64):
-        can = np.flatnonzero((x == (off < 0)) & (size <= abs(off)) & (size > 0))
-        if not len(can):
-            break
-        i = can[np.argmax(size[can])]
-        off += size[i] if off < 0 else -size[i]
-        x[i] = 1 - x[i]
-    # then swaps of a taken unit with the one left out that fits best
-    for _ in range(4):
-        taken, out = np.flatnonzero(x == 1), np.flatnonzero((x == 0) & (size > 0))
-        if not off or not len(taken) or not len(out):
-            break
-        out = out[np.argsort(size[out], kind="stable")]
-        wish = size[taken] + off
-        at = np.searchsorted(size[out], wish)
-        pairs = [(abs(off - size[out[j]] + size[t]), int(t), int(out[j])) for t, a in zip(taken, at, strict=True) for j in (a - 1, a) if 0 <= j < len(out)]
-        left, t, o = min(pairs)
-        if left >= abs(off):
-            break
-        off, x[t], x[o] = off - size[o] + size[t], 0, 1
+    x[free] = options[np.lexsort((np.abs(off.sum(axis=1)), np.abs(off @ size[free])))[0]]
     return x
 
 
 def _balance(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        rows = rows.sort_values(["size", "doc_id", "of"], ascending=[False, True, True], kind="stable")
         name = rows["source"].iloc[0]
         rng = np.random.default_rng([zlib.crc32(str(name).encode()), int(rows["block"].iloc[0]), int(rows["level"].iloc[0])])
         size = rows["size"].to_numpy("float64")
@@ -132,17 +109,20 @@ def _balance(last: bool):
 
 
 def mix(scratch: Scratch, docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document.
+    """(doc_id, of, source, size, source_size, target, copies, taken): how often the mix takes each document.
 
     A document is taken floor(target / source_size) times for certain and once more if the cube method selects it.
     """
-    units = scratch.save(sizes(docs))
+    units = scratch.save(sizes(docs).withColumn("row", F.monotonically_increasing_id()))
     per = targets(units, weights, budget, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = units.join(per, units["source"].eqNullSafe(per["source"])).drop(per["source"])
     sure = F.floor(ratio + 1e-9).cast("int")
     rows = rows.withColumn("sure", sure).withColumn("x", F.when(F.col("size") > 0, F.greatest(ratio - sure, F.lit(0.0))).otherwise(0.0))
-    rows = scratch.save(rows)
+    repeated = units.groupBy(F.col("doc_id").alias("id"), F.col("of").alias("text")).agg(F.count("*").alias("held")).where("held > 1")
+    rows = rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["id"]) & (rows["of"] == repeated["text"]), "left").drop("id", "text")
+    # equal rows differ in their number only
+    rows = scratch.save(rows.withColumn("salt", F.when(F.col("held").isNotNull(), F.col("row")).otherwise(F.lit(0).cast("long"))).drop("held", "row"))
     done, left = [rows.where("x <= 1e-9").withColumn("x", F.lit(0.0))], rows.where("x > 1e-9")
     for level in range(12):
         per_source = left.groupBy("source").agg(F.count("*").alias("units"))
@@ -151,7 +131,7 @@ def mix(scratch: Scratch, docs: DataFrame, weights=WEIGHTS, budget: float = BUDG
             break
         last = most <= block
         blocks = left.join(per_source, left["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("units") / block)).cast("long")).withColumn("level", F.lit(level)).drop("units")
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id", "of", "salt"), F.ceil(F.col("units") / block)).cast("long")).withColumn("level", F.lit(level)).drop("units")
         out = scratch.save(blocks.groupBy("source", "block").applyInPandas(_balance(last), blocks.schema).drop("block", "level"))
         done.append(out if last else out.where("x = 0 or x = 1"))
         if last:
@@ -161,7 +141,7 @@ def mix(scratch: Scratch, docs: DataFrame, weights=WEIGHTS, budget: float = BUDG
     for part in done[1:]:
         whole = whole.unionByName(part)
     copies = (F.col("sure") + F.round("x").cast("int")).cast("int")
-    return whole.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return whole.select("doc_id", "of", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
