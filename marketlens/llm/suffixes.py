@@ -1,17 +1,20 @@
 """Suffix-array dedup by a distributed difference-cover algorithm.
 
 Texts are sampled at content-defined anchors (minimisers), the same wherever the same bytes stand. Every window of 200
-bytes holds an anchor and a stretch of CORE bytes behind it, so stretches that occur once cannot lie in a repeat and end
-a chunk; the rest is a string over the names of stretches. Its suffixes are sorted by the difference-cover algorithm:
-triples at positions 1 and 2 modulo 3 are sorted and named, the string of names is sorted by recursion, the remaining
-suffixes are placed by their first symbol and the rank behind it, and all are merged. Comparing adjacent suffixes gives
-how far each anchor repeats; only windows of 200 bytes that this allows are looked at as bytes: equal neighbourhoods
-settle all their windows at once, and the windows at the edges of repeats are sorted among each other and compared with
-their neighbours.
-
-Equality is that of 64-bit hashes (96 bits for single windows). Nulls and edges: a null text counts as empty; texts of
-fewer than 200 bytes lose nothing; rows that repeat an id and a text are copies of each other; a null id is a document;
-other columns are ignored; an empty table gives no rows.
+bytes holds an anchor and a stretch of CORE bytes behind it, so stretches that occur once cannot lie in a repeat (exact
+prefilter). The windows of an anchor and all their bytes are its neighbourhood; equal neighbourhoods are copies of each
+other and are one from here on, as equal texts are. What is left are neighbourhoods at the edges of repeats.
+
+Their suffixes from the anchor on are sorted, in symbols of SYMBOL bytes that are named in the order of their bytes, by
+the difference-cover algorithm: triples at positions 1 and 2 modulo 3 are sorted and named, the string of names is
+sorted by recursion, the remaining suffixes are placed by their first symbol and the rank behind it, and all are merged.
+The bytes of adjacent suffixes are then compared. For each length the order falls into runs of suffixes that agree so
+far; a window repeats if another one has the same bytes before the anchor and lies in the same run.
+
+Equality of stretches and neighbourhoods is that of 64-bit hashes, that of texts of 128-bit ones; what the order of
+suffixes decides is compared byte by byte. Nulls and edges: a null text counts as empty; texts of fewer than 200 bytes
+lose nothing; rows that repeat an id and a text are copies of each other; a null id is a document; an id with several
+texts is as many documents; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.shared import Scratch, if_small, table
@@ -30,51 +33,54 @@ U = np.uint64
 LENGTH, GRAM, SPAN = 200, 8, 56
 #: Bytes behind an anchor that all windows of the anchor have.
 CORE = LENGTH - SPAN + 1
-#: The order of suffixes that agree over so many bytes doesn't matter: more than a span bounds no window.
-ENOUGH = 2 * SPAN
+#: Bytes of a symbol of the sorted strings.
+SYMBOL = 64
 
 
 # --- difference cover ---------------------------------------------------------------------------------------------
 
 
-def suffix_order(scratch: Scratch, symbols: DataFrame, enough: int | None = None) -> DataFrame:
-    """(cid, i, s, rank) of symbols (cid, i, s, b): ranks sort the suffixes of the strings cid.
+def suffix_order(scratch: Scratch, symbols: DataFrame) -> DataFrame:
+    """(cid, i, s, rank) of symbols (cid, i, s): ranks sort the suffixes of the strings cid.
 
-    Each string must end with a symbol that occurs nowhere else. b is the length of a symbol; where enough is given,
-    suffixes that agree over that length may share a rank.
+    Each string must end with a symbol that occurs nowhere else.
     """
-    symbols = scratch.save(symbols)
+    symbols = scratch.save(symbols.select("cid", "i", "s"))
     ahead = Window.partitionBy("cid").orderBy("i")
-    lead = lambda c, k: F.coalesce(F.lead(c, k).over(ahead), F.lit(-1 if c == "s" else 0).cast("long"))
-    full = symbols.withColumns({"s1": lead("s", 1), "s2": lead("s", 2), "b3": F.col("b") + lead("b", 1) + lead("b", 2), "n": F.count("*").over(Window.partitionBy("cid"))})
+    lead = lambda c, k: F.coalesce(F.lead(c, k).over(ahead), F.lit(-1).cast("long"))
+    full = symbols.withColumns({"s1": lead("s", 1), "s2": lead("s", 2), "n": F.count("*").over(Window.partitionBy("cid"))})
     sample = full.where("i % 3 <> 0")
     triple = ["s", "s1", "s2"]
-    names = sample.groupBy(*triple).agg(F.count("*").alias("held"), F.min("b3").alias("least")).sort(*triple)
+    names = sample.groupBy(*triple).agg(F.count("*").alias("held")).sort(*triple)
     names = scratch.save(names.withColumn("name", F.monotonically_increasing_id()))  # the order of the ids is that of the triples
-    shared = names.where("held > 1" + ("" if enough is None else f" and least < {enough}"))
     # reduced string: positions 1 modulo 3, then positions 2 modulo 3
     place = F.when(F.col("i") % 3 == 1, (F.col("i") - 1) / 3).otherwise(F.floor((F.col("n") + 1) / 3) + (F.col("i") - 2) / 3).cast("long")
-    named = scratch.save(sample.join(names.select(*triple, "name"), triple).select("cid", "i", place.alias("at"), "name", "b3"))
-    if shared.isEmpty():
+    named = scratch.save(sample.join(names.select(*triple, "name"), triple).select("cid", "i", place.alias("at"), "name"))
+    if names.where("held > 1").isEmpty():
         ranks = named.select("cid", "i", F.col("name").alias("r"))
     else:
-        inner = suffix_order(scratch, named.select("cid", F.col("at").alias("i"), F.col("name").alias("s"), F.col("b3").alias("b")), enough)
+        inner = suffix_order(scratch, named.select("cid", F.col("at").alias("i"), F.col("name").alias("s")))
         ranks = named.join(inner.select("cid", F.col("i").alias("at"), "rank"), ["cid", "at"]).select("cid", "i", F.col("rank").alias("r"))
-    known = symbols.select("cid", "i", "s").join(ranks, ["cid", "i"], "left")
-    behind = {"r1": lead("r", 1), "s1": lead("s", 1), "r2": lead("r", 2)}
-    known = scratch.save(known.withColumns(behind))
+    known = symbols.join(ranks, ["cid", "i"], "left")
+    known = scratch.save(known.withColumns({"r1": lead("r", 1), "s1": lead("s", 1), "r2": lead("r", 2)}))
     rest = F.col("i") % 3 == 0
+    out = scratch.save(_merged(known, rest))
+    scratch.drop(symbols, names, named, known)
+    return out
+
+
+def _merged(known: DataFrame, rest) -> DataFrame:
+    """The remaining suffixes of known (cid, i, s, r, r1, s1, r2) among the sampled ones.
+
+    A remaining suffix meets those of 1 modulo 3 by (symbol, rank behind), those of 2 modulo 3 by one symbol more.
+    """
     before = Window.partitionBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a remaining suffix meets those of 1 modulo 3 by (symbol, rank behind), those of 2 modulo 3 by one symbol more
     of = lambda m: F.max(F.when(F.col("i") % 3 == m, F.col("r")))
-    one = known.where("i % 3 <> 2").withColumn("p1", of(1).over(before.orderBy("r1", F.col("i") % 3 == 0))).where(rest).select("cid", "i", "s", "r1", "p1")
-    two = known.where("i % 3 <> 1").withColumn("p2", of(2).over(before.orderBy("s1", "r2", F.col("i") % 3 == 0))).where(rest).select("cid", "i", "p2")
+    one = known.where("i % 3 <> 2").withColumn("p1", of(1).over(before.orderBy("r1", rest))).where(rest).select("cid", "i", "s", "r1", "p1")
+    two = known.where("i % 3 <> 1").withColumn("p2", of(2).over(before.orderBy("s1", "r2", rest))).where(rest).select("cid", "i", "p2")
     placed = one.join(two, ["cid", "i"]).select("cid", "i", "s", F.greatest(F.coalesce("p1", F.lit(-1)), F.coalesce("p2", F.lit(-1))).alias("place"), F.lit(1).alias("late"), "r1")
     sampled = known.where(~rest).select("cid", "i", "s", F.col("r").alias("place"), F.lit(0).alias("late"), F.lit(0).cast("long").alias("r1"))
-    merged = placed.unionByName(sampled).sort("s", "place", "late", "r1")
-    out = scratch.save(merged.select("cid", "i", "s", F.monotonically_increasing_id().alias("rank")))
-    scratch.drop(symbols, names, named, known)
-    return out
+    return placed.unionByName(sampled).sort("s", "place", "late", "r1").select("cid", "i", "s", F.monotonically_increasing_id().alias("rank"))
 
 
 # --- phrases and windows ------------------------------------------------------------------------------------------
@@ -107,13 +113,13 @@ def _signed(x: int) -> int:
 
 
 def stretches(units: DataFrame) -> DataFrame:
-    """(h, doc, at) of units (doc, text): the hash of the stretch behind each anchor; at is its place and the distance to the next one."""
+    """(h, doc, at) of units (doc, text): the hash of the stretch behind each anchor and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         def batch_of(docs, spots, hs):
-            return pa.record_batch([pa.array(hs, pa.int64()), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(spots), pa.int64())], names=["h", "doc", "at"])
+            return pa.record_batch([pa.array(hs, pa.int64()), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(spots), pa.int32())], names=["h", "doc", "at"])
 
         for batch in batches:
             docs, spots, hs = [], [], []
@@ -125,7 +131,7 @@ def stretches(units: DataFrame) -> DataFrame:
                 x = at[np.concatenate(([True], np.diff(at) > 0))]
                 x = x[x + CORE <= len(raw)]
                 hs += [_signed(xxhash.xxh3_64_intdigest(raw[p : p + CORE])) for p in x.tolist()]
-                spots.append(x << 8 | np.append(np.diff(x), 255)[: len(x)])  # no later anchor has a stretch: nothing bounds the last one
+                spots.append(x)
                 docs.append(np.full(len(x), doc))
                 if len(hs) > 200_000:
                     yield batch_of(docs, spots, hs)
@@ -133,45 +139,23 @@ def stretches(units: DataFrame) -> DataFrame:
             if hs:
                 yield batch_of(docs, spots, hs)
 
-    return units.mapInArrow(run, "h long, doc long, at long")
-
-
-def reaching(scratch: Scratch, units: DataFrame) -> DataFrame:
-    """(doc, spots): the anchors (x, e) of each document whose stretch repeats; e is the first anchor not shared with another place."""
-    same = Window.partitionBy("h")
-    kept = stretches(units).withColumn("held", F.count("*").over(same)).where("held > 1")
-    kept = scratch.save(kept.select("h", "doc", F.shiftright("at", 8).cast("int").alias("x"), F.col("at").bitwiseAND(F.lit(255)).alias("b")))
-    by_doc = Window.partitionBy("doc").orderBy("x")
-    runs = kept.withColumn("new", F.coalesce(F.lag(F.col("x") + F.col("b")).over(by_doc) != F.col("x"), F.lit(True)))
-    runs = runs.withColumn("start", F.count_if("new").over(by_doc))
-    runs = scratch.save(runs.withColumn("i", F.row_number().over(Window.partitionBy("doc", "start").orderBy("x")) - 1).drop("new"))
-    chunks = scratch.save(runs.groupBy("doc", "start").agg(F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
-    # symbols are hashes without the sign; ends of chunks are negative numbers of their own
-    keyed = scratch.save(runs.join(chunks, ["doc", "start"]).select("cid", F.col("i").cast("long").alias("i"), "doc", "x", "h", "b"))
-    symbols = keyed.select("cid", "i", F.shiftrightunsigned("h", 1).alias("s"), "b")
-    ends = chunks.select("cid", F.col("n").alias("i"), (-2 - F.col("cid")).alias("s"), F.lit(0).cast("long").alias("b"))
-    order = suffix_order(scratch, symbols.unionByName(ends), ENOUGH)
-    ahead = Window.partitionBy("cid").orderBy("x").rangeBetween(0, SPAN)  # sharing more than a span bounds no window
-    coming = keyed.select("cid", "i", "doc", "x", F.collect_list(F.struct("h", "b")).over(ahead).alias("coming"))
-    rows = order.where("s >= 0").join(coming, ["cid", "i"])
-    near = Window.partitionBy("s").orderBy("rank")
-
-    def shared(other: Column) -> Column:
-        """Bytes from an anchor to the first one that an adjacent suffix doesn't share."""
-        pairs = F.zip_with("coming", other, lambda p, q: F.when(p["h"] == q["h"], p["b"]))
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("on"))
-        step = lambda a, b: F.struct((a["n"] + F.when(a["on"] & b.isNotNull(), b).otherwise(F.lit(0).cast("long"))).alias("n"), (a["on"] & b.isNotNull()).alias("on"))
-        return F.coalesce(F.aggregate(pairs, start, step, lambda a: a["n"]), F.lit(0).cast("long"))
-
-    rows = rows.withColumns({"before": F.lag("coming").over(near), "after": F.lead("coming").over(near)})
-    far = rows.select("doc", "x", (F.col("x") + F.greatest(shared(F.col("before")), shared(F.col("after")))).cast("int").alias("e"))
-    out = scratch.save(far.where("e > x").groupBy("doc").agg(F.collect_list(F.struct("x", "e")).alias("spots")))
-    scratch.drop(kept, runs, chunks, keyed, order)
-    return out
+    return units.mapInArrow(run, "h long, doc long, at int")
+
+
+def recurring(scratch: Scratch, units: DataFrame) -> DataFrame:
+    """(doc, spots): the places of the anchors of each document whose stretch occurs elsewhere.
+
+    Stretches are counted before they are joined, so that one that very many documents hold is split among tasks.
+    """
+    raw = scratch.save(stretches(units))
+    twice = scratch.save(raw.groupBy("h").agg(F.count("*").alias("held")).where("held > 1").select("h"))
+    spots = scratch.save(raw.join(twice, "h").groupBy("doc").agg(F.collect_list("at").alias("spots")))
+    scratch.drop(raw, twice)
+    return spots
 
 
 def neighbourhoods(units: DataFrame) -> DataFrame:
-    """(doc, x, first, last, u, core) of units (doc, text, spots): an anchor's possible windows, hashes of all their bytes and of the bytes common to all."""
+    """(doc, first, n, left, u, core) of units (doc, text, spots): the first and number of an anchor's windows, its distance from the first, hashes of all their bytes and of the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -181,52 +165,122 @@ def neighbourhoods(units: DataFrame) -> DataFrame:
             for doc, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 at = minima(raw)[: len(raw) - LENGTH + 1]
-                for spot in spots:
-                    x = spot["x"]
-                    first, end = np.searchsorted(at, (x, x + 1)).tolist()
-                    last = min(end - 1, spot["e"] - SPAN)  # all anchors up to SPAN - 1 behind a start have their stretch in the window
-                    if first <= last:
-                        u = xxhash.xxh3_64_intdigest(raw[first : last + LENGTH], x - first)
-                        rows.append((doc, x, first, last, _signed(u), _signed(xxhash.xxh3_64_intdigest(raw[x : x + CORE]))))
+                spots = np.sort(np.array(spots, np.int64))
+                begin, end = np.searchsorted(at, spots), np.searchsorted(at, spots, "right")
+                for x, first, after in zip(spots.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    if first < after:
+                        u = xxhash.xxh3_64_intdigest(raw[first : after - 1 + LENGTH], x - first)
+                        rows.append((doc, first, after - first, x - first, _signed(u), _signed(xxhash.xxh3_64_intdigest(raw[x : x + CORE]))))
+                if len(rows) > 200_000:
+                    yield _batch(rows)
+                    rows = []
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc", "x", "first", "last", "u", "core"])
+                yield _batch(rows)
 
-    return units.mapInArrow(run, "doc long, x int, first int, last int, u long, core long")
+    def _batch(rows):
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc", "first", "n", "left", "u", "core"])
 
+    return units.mapInArrow(run, "doc long, first int, n int, left int, u long, core long")
 
-def windows(units: DataFrame) -> DataFrame:
-    """(h1, h2, doc, p): every window of the ranges (first, last) of units (doc, text, ranges)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def cut_out(units: DataFrame) -> DataFrame:
+    """(doc, first, n, left, held, raw) of units (doc, text, parts): the bytes of all windows of each part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = []
+            for doc, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                for some in np.array_split(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges]), 1 + sum(r["last"] - r["first"] for r in ranges) // 200_000):
-                    wide = [xxhash.xxh3_128_intdigest(raw[p : p + LENGTH]) for p in some.tolist()]
-                    yield pa.record_batch([pa.array([_signed(w & (1 << 64) - 1) for w in wide], pa.int64()), pa.array([(w >> 64 & 0xFFFFFFFF) - (1 << 31) for w in wide], pa.int32()), pa.array(np.full(len(some), doc), pa.int64()), pa.array(some, pa.int32())], names=["h1", "h2", "doc", "p"])
+                rows += [(doc, p["first"], p["n"], p["left"], p["held"], raw[p["first"] : p["first"] + p["n"] - 1 + LENGTH]) for p in parts]
+            if rows:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc", "first", "n", "left", "held", "raw"])
+
+    return units.mapInArrow(run, "doc long, first int, n int, left int, held long, raw binary")
+
+
+def common_prefixes(rows: DataFrame) -> DataFrame:
+    """(cid, place, part, lcp) of rows (cid, place, part, tail, before): how many bytes tail and before have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                n = min(len(a), len(b or b""))
+                x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b or b"", np.uint8, n)
+                differ = np.flatnonzero(x != y)
+                out.append(int(differ[0]) if len(differ) else n)
+            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.int32())], names=["cid", "place", "part", "lcp"])
+
+    return rows.select("cid", "place", "part", "tail", "before").mapInArrow(run, "cid long, place long, part long, lcp int")
+
+
+def runs_of(scratch: Scratch, strings: DataFrame) -> DataFrame:
+    """(cid, runs) of strings (cid, left, raw): for each distance d of a window from its anchor, the run of the order of suffixes from the anchor on that agree over the window's other LENGTH - d bytes."""
+    tail = F.expr("substring(raw, left + 1)")
+    tails = scratch.save(strings.select("cid", tail.alias("tail")))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("tail") - 1) / SYMBOL)), lambda k: F.substring(F.col("tail"), (k * SYMBOL + 1).cast("int"), F.lit(SYMBOL)))
+    pieces = scratch.save(tails.select("cid", F.posexplode(cut).alias("i", "piece")))
+    names = scratch.save(pieces.select("piece").distinct().sort("piece").withColumn("s", F.monotonically_increasing_id()))
+    symbols = pieces.join(names, "piece").select("cid", F.col("i").cast("long").alias("i"), "s")
+    ends = pieces.groupBy("cid").agg((F.max("i") + 1).cast("long").alias("i")).withColumn("s", -2 - F.col("cid"))
+    order = suffix_order(scratch, symbols.unionByName(ends))
+    ranked = order.where("i = 0").select("cid", "rank").join(tails, "cid").sort("rank")
+    ranked = scratch.save(ranked.select("cid", "tail", F.monotonically_increasing_id().alias("place")).withColumn("part", F.shiftright("place", 33)))
+    # the first suffix of each part of the order meets the last one of the part before
+    by_part = Window.partitionBy("part").orderBy("place")
+    lasts = ranked.groupBy("part").agg(F.max_by("tail", "place").alias("last"))
+    lasts = lasts.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))  # one row for each part
+    pairs = ranked.withColumn("before", F.lag("tail").over(by_part)).join(F.broadcast(lasts), "part")
+    lcps = scratch.save(common_prefixes(pairs.withColumn("before", F.coalesce("before", "last"))))
+    breaks = [F.when(F.col("lcp") < LENGTH - d, F.col("place")) for d in range(SPAN)]
+    upto = by_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = lcps.select("cid", "part", F.array(*[F.max(b).over(upto) for b in breaks]).alias("own"))
+    ends = lcps.groupBy("part").agg(*[F.max(b).alias(f"b{d}") for d, b in enumerate(breaks)])
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("part").alias("of"), F.array(*[F.max(f"b{d}").over(so_far) for d in range(SPAN)]).alias("carried"))
+    both = own.join(F.broadcast(carried), F.col("part") == F.col("of"))
+    out = scratch.save(both.select("cid", F.zip_with("own", "carried", lambda a, b: F.coalesce(a, b, F.lit(-1).cast("long"))).alias("runs")))
+    scratch.drop(tails, pieces, names, order, ranked, lcps)
+    return out
+
+
+def windows(strings: DataFrame) -> DataFrame:
+    """(run, before, cid, at): each window of strings (cid, n, left, raw, runs) with its run and its bytes before the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, before, cids, ats = [], [], [], []
+            for cid, n, left, raw, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs += [of[left - at] for at in range(n)]
+                before += [raw[at:left] for at in range(n)]
+                cids += [cid] * n
+                ats += range(n)
+            yield pa.record_batch([pa.array(runs, pa.int64()), pa.array(before, pa.binary()), pa.array(cids, pa.int64()), pa.array(ats, pa.int32())], names=["run", "before", "cid", "at"])
 
-    return units.mapInArrow(run, "h1 long, h2 int, doc long, p int")
+    return strings.select("cid", "n", "left", "raw", "runs").mapInArrow(run, "run long, before binary, cid long, at int")
 
 
 def repeated(scratch: Scratch, units: DataFrame) -> DataFrame:
     """(doc, ranges): inclusive ranges of starts of windows that occur elsewhere, for units (doc, text) of different texts."""
-    spots = reaching(scratch, units)
+    spots = recurring(scratch, units)
     near = scratch.save(neighbourhoods(units.join(if_small(spots, "spots"), "doc")))
-    same, group = Window.partitionBy("core", "u"), Window.partitionBy("core")
-    near_all = near.withColumns({"held": F.count("*").over(same), "turn": F.row_number().over(same.orderBy("doc", "x"))})
-    near_all = scratch.save(near_all.withColumns({"edge": F.min("held").over(group) == 1, "size": F.count("*").over(group)}))
-    whole = near_all.where("held > 1").select("doc", "first", "last")
-    open_ = near_all.where("edge and size > 1 and turn = 1").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    cut = windows(units.join(if_small(scratch.save(open_), "ranges"), "doc"))
-    twice = cut.withColumn("held", F.count("*").over(Window.partitionBy("h1", "h2"))).where("held > 1")
-    single = twice.select("doc", F.col("p").alias("first"), F.col("p").alias("last"))
-    by_start = single.withColumn("run", F.col("first") - F.row_number().over(Window.partitionBy("doc").orderBy("first")))
-    joined = by_start.groupBy("doc", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
-    out = whole.unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    out = scratch.save(out)
-    scratch.drop(spots, near, near_all)
+    # of equal neighbourhoods one stands for all: the first that its smallest document has
+    same = near.groupBy("u").agg(F.count("*").alias("held"), F.min("doc").alias("doc"), F.min_by("first", "doc").alias("first"), *[F.first(c).alias(c) for c in ("n", "left", "core")])
+    same = scratch.save(same)
+    whole = near.join(same.where("held > 1").select("u"), "u").select("doc", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    # a stretch in different neighbourhoods of which one occurs once: parts of that one may still repeat
+    edges = scratch.save(same.groupBy("core").agg(F.count("*").alias("kinds"), F.min("held").alias("least")).where("kinds > 1 and least = 1").select("core"))
+    parts = same.join(edges, "core").groupBy("doc").agg(F.collect_list(F.struct("first", "n", "left", "held")).alias("parts"))
+    strings = scratch.save(cut_out(units.join(if_small(scratch.save(parts), "parts"), "doc")).withColumn("cid", F.monotonically_increasing_id()))
+    cut = scratch.save(windows(strings.join(runs_of(scratch, strings), "cid")))
+    twice = cut.groupBy("run", "before").agg(F.count("*").alias("times")).where("times > 1").select("run", "before")
+    found = cut.join(scratch.save(twice), ["run", "before"]).join(strings.where("held = 1").select("cid", "doc", "first"), "cid")
+    starts = found.select("cid", "doc", (F.col("first") + F.col("at")).alias("p"), (F.col("at") - F.row_number().over(Window.partitionBy("cid").orderBy("at"))).alias("run"))
+    joined = starts.groupBy("cid", "doc", "run").agg(F.min("p").alias("first"), F.max("p").alias("last")).select("doc", "first", "last")
+    out = scratch.save(whole.unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
+    scratch.drop(spots, near, same, edges, strings, cut)
     return out
 
 
@@ -261,17 +315,18 @@ def removal(docs: DataFrame) -> DataFrame:
 def dedup_substrings(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """What is left of each document without the bytes of 200-byte strings that start anywhere else."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumns({"doc": F.xxhash64("text"), "uid": F.coalesce("doc_id", F.xxhash64("text"))})
-    places = scratch.save(docs.select("doc", "uid", (F.octet_length("text") >= LENGTH).alias("long")))
-    classes = scratch.save(places.groupBy("doc").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.first("long").alias("long")))
-    others = scratch.save(places.where("long").join(classes.select("doc", "rep"), "doc").where("uid <> rep").select("uid").distinct())
-    units = docs.where(F.octet_length("text") >= LENGTH).join(if_small(others), "uid", "left_anti").select("doc", "text")
-    twice = places.where("long").groupBy("doc", "uid").count().join(classes.select("doc", F.col("rep").alias("uid")), ["doc", "uid"]).where("count > 1")
-    if not twice.isEmpty():  # an id and its text stand in several rows
-        units = units.dropDuplicates(["doc"])
+    docs = docs.withColumns({"doc": F.xxhash64("text"), "twin": F.xxhash64(F.lit(1), "text")})
+    places = scratch.save(docs.where(F.octet_length("text") >= LENGTH).select("doc", "twin", "doc_id"))
+    copies = scratch.save(places.groupBy("doc", "twin").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    held = places.join(copies, ["doc", "twin"]).groupBy("doc", "twin", "doc_id").agg(F.count("*").alias("rows"), (~F.col("doc_id").eqNullSafe(F.first("rep"))).alias("other"))
+    held = scratch.save(held.where("other or rows > 1").select(F.col("doc").alias("d"), F.col("twin").alias("t"), F.col("doc_id").alias("of"), "other"))
+    match = lambda df: (docs["doc"] == df["d"]) & (docs["twin"] == df["t"]) & docs["doc_id"].eqNullSafe(df["of"])
+    units = docs.where(F.octet_length("text") >= LENGTH).join(if_small(held), match(held), "left_anti").select("doc", "text")
+    rows = held.where("not other")  # a text and its smallest id stand in several rows
+    if not rows.isEmpty():
+        units = units.unionByName(docs.join(if_small(rows), match(rows), "left_semi").dropDuplicates(["doc", "twin"]).select("doc", "text"))
     found = repeated(scratch, units)
-    ranges = classes.where("copies > 1").select("doc", "copies").join(found, "doc", "full_outer")
-    both = docs.join(if_small(scratch.save(ranges), "ranges"), "doc", "left")
+    both = docs.join(if_small(found, "ranges"), "doc", "left").join(if_small(copies.drop("rep")), ["doc", "twin"], "left")
     return removal(both.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "ranges"))
 
 

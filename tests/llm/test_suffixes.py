@@ -62,3 +62,26 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert suffixes.dedup_substrings(Scratch(spark, "t"), docs.limit(0)).count() == 0
     twice = docs.limit(1).unionByName(docs.limit(1)).unionByName(docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
     assert sorted((r.doc_id is None, r.n_removed) for r in suffixes.dedup_substrings(Scratch(spark, "t"), twice).collect()) == [(False, 450), (False, 450), (True, 0), (True, 450)]
+
+
+def test_ids_with_several_texts(spark):
+    rng = random.Random(3)
+    s, x = "".join(rng.choice("abcdefgh") for _ in range(419)), "".join(rng.choice("ijkl") for _ in range(300))
+    docs = spark.createDataFrame([(5, s + "a"), (7, "b" + s), (3, x), (5, x), (None, s + "a"), (None, "c" + s[:250])], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.dedup_substrings(Scratch(spark, "t"), docs).collect())
+    assert got == sorted([(5, 420, 420), (7, 420, 419), (3, 300, 300), (5, 300, 300), (0, 420, 420), (0, 251, 250)])
+
+
+def test_the_order_of_suffixes_decides(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(330))
+    texts = ["".join(rng.choice("stuvw") for _ in range(50 + k)) + passage + "".join(rng.choice("xyz") for _ in range(60)) for k in range(40)]
+    check(spark, docs_of(spark, texts), dict(enumerate(texts)))
+    order = suffixes.suffix_order
+
+    def disturbed(scratch, symbols):
+        return scratch.save(order(scratch, symbols).selectExpr("cid", "i", "s", "xxhash64(cid, i) as rank"))
+
+    monkeypatch.setattr(suffixes, "suffix_order", disturbed)
+    with pytest.raises(AssertionError):
+        check(spark, docs_of(spark, texts), dict(enumerate(texts)))
