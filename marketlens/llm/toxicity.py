@@ -94,8 +94,10 @@ def _fit(texts: list[np.ndarray], y: np.ndarray, seed: int, epochs: int, rate: f
     """Adam on the pooled positions; texts are arrays (words, 3) of buckets. Returns the model and logits' parts."""
     rng = np.random.default_rng(seed)
     per_doc = [np.unique(t) for t in texts]
-    known, where, n = np.unique(np.concatenate([*per_doc, np.zeros(1, np.int64)]), return_inverse=True, return_counts=True)
-    pos = np.bincount(where[:-1], np.repeat(y, list(map(len, per_doc))), len(known))
+    known, n = np.unique(np.concatenate([*per_doc, np.zeros(1, np.int32)]), return_counts=True)
+    pos = np.zeros(len(known))
+    toxic, times = np.unique(np.concatenate([*[d for d, label in zip(per_doc, y, strict=True) if label], np.zeros(0, np.int32)]), return_counts=True)
+    pos[np.searchsorted(known, toxic)] = times
     frequent = n >= least_docs
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((n - pos + 0.5) / ((1 - y).sum() + 1))
     known, odds = (known[frequent], odds[frequent]) if frequent.any() else (known[:1], odds[:1] * 0)
@@ -107,7 +109,7 @@ def _fit(texts: list[np.ndarray], y: np.ndarray, seed: int, epochs: int, rate: f
         x[:, 0] = np.abs(x[:, 0])
     model = Model(known, [], [np.zeros(FILTERS) for _ in WIDTHS], np.full(FILTERS * len(WIDTHS), 0.3), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
     docs = [model.rows(t).astype(np.int32) for t in texts]
-    del per_doc, where, n, pos, frequent
+    del per_doc, n, pos, frequent
     params = [e, *w, *model.bias, model.out]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     out_bias, b1, b2 = model.out_bias, 0.9, 0.99
@@ -199,11 +201,11 @@ def train(docs: DataFrame, sample: DataFrame, seed: int = 7, epochs: int = 6, ca
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "text", "lang", "y").mapInArrow(hashed, "doc_id long, w array<int>, lang string, y int").toArrow().sort_by("doc_id")
-    held_words = got.column("w").combine_chunks()
-    flat, ends = held_words.flatten().to_numpy(), np.cumsum([0, *held_words.value_lengths().to_pylist()])
-    texts = [flat[a:b].reshape(-1, 3) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    y, langs = np.array(got.column("y").to_pylist(), float), np.array([x or "" for x in got.column("lang").to_pylist()], object)
+    got = rows.select("doc_id", "text", "lang", "y").mapInArrow(hashed, "doc_id long, w array<int>, lang string, y int").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the words themselves are not sorted, which would copy them
+    texts = [w.values.to_numpy().reshape(-1, 3) for w in got.column("w")]
+    texts = [texts[i] for i in order]
+    y, langs = np.array(got.column("y").to_pylist(), float)[order], np.array([x or "" for x in got.column("lang").to_pylist()], object)[order]
     if not len(y):
         return _fit([np.zeros((0, 3), np.int64)], np.zeros(1), seed, 0)
     held = np.random.default_rng(seed).random(len(y)) < calibrate
