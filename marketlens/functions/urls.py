@@ -24,15 +24,24 @@ SKIP_QUERY = (
     "utm_ utm_source utm_medium utm_campaign ref= referrer= source= fbclid= gclid= msclkid= sessionid= sid= debug= test= preview= print= printable= "
     "share= lang= language= currency= country= sort= order= filter= page= p= offset= limit= per_page= format= output= callback= jsonp="
 ).split()
+# Path segments of other languages.
 LANGUAGE_SEGMENTS = (
-    "de german deutsch es spanish espanol fr french francais it italian italiano pt portuguese portugues ru russian russkiy nl dutch nederlands "
-    "sv swedish svenska no norwegian norsk da danish dansk fi finnish suomi pl polish polski cs czech cesky hu hungarian magyar ro romanian romana "
-    "bg bulgarian bulgarski hr croatian hrvatski sk slovak slovensky sl slovenian slovenski et estonian eesti lv latvian latviesu lt lithuanian lietuviu "
-    "el greek ellinika tr turkish turkce he hebrew ivrit uk ukrainian ukrayinska be belarusian belaruski zh chinese zhongwen ja japanese nihongo "
-    "ko korean hangugeo th thai vi vietnamese tieng-viet id indonesian bahasa-indonesia ms malay bahasa-melayu tl filipino tagalog hi hindi hindustani "
-    "bn bengali bangla ta tamil te telugu ml malayalam kn kannada gu gujarati pa punjabi or odia as assamese mr marathi ur urdu fa persian farsi "
-    "ar arabic arabiya"
+    "/de/ /german/ /deutsch/ /es/ /spanish/ /espanol/ /fr/ /french/ /francais/ /it/ /italian/ /italiano/ /pt/ /portuguese/ /portugues/ /ru/ /russian/ "
+    "/russkiy/ /nl/ /dutch/ /nederlands/ /sv/ /swedish/ /svenska/ /no/ /norwegian/ /norsk/ /da/ /danish/ /dansk/ /fi/ /finnish/ /suomi/ /pl/ /polish/ "
+    "/polski/ /cs/ /czech/ /cesky/ /hu/ /hungarian/ /magyar/ /ro/ /romanian/ /romana/ /bg/ /bulgarian/ /bulgarski/ /hr/ /croatian/ /hrvatski/ /sk/ "
+    "/slovak/ /slovensky/ /sl/ /slovenian/ /slovenski/ /et/ /estonian/ /eesti/ /lv/ /latvian/ /latviesu/ /lt/ /lithuanian/ /lietuviu/ /el/ /greek/ "
+    "/ellinika/ /tr/ /turkish/ /turkce/ /he/ /hebrew/ /ivrit/ /uk/ /ukrainian/ /ukrayinska/ /be/ /belarusian/ /belaruski/ /zh/ /chinese/ /zhongwen/ /ja/ "
+    "/japanese/ /nihongo/ /ko/ /korean/ /hangugeo/ /th/ /thai/ /vi/ /vietnamese/ /tieng-viet/ /id/ /indonesian/ /bahasa-indonesia/ /ms/ /malay/ "
+    "/bahasa-melayu/ /tl/ /filipino/ /tagalog/ /hi/ /hindi/ /hindustani/ /bn/ /bengali/ /bangla/ /ta/ /tamil/ /te/ /telugu/ /ml/ /malayalam/ /kn/ "
+    "/kannada/ /gu/ /gujarati/ /pa/ /punjabi/ /or/ /odia/ /as/ /assamese/ /mr/ /marathi/ /ur/ /urdu/ /fa/ /persian/ /farsi/ /ar/ /arabic/ /arabiya/ /af/ "
+    "/afrikaans/ /sw/ /swahili/ /kiswahili/ /am/ /amharic/ /so/ /somali/ /soomaali/ /ka/ /georgian/ /kartuli/ /hy/ /armenian/ /hayeren/ /az/ /azerbaijani/ "
+    "/azerbaycan/ /kk/ /kazakh/ /qazaq/ /ky/ /kyrgyz/ /kyrgyzcha/ /uz/ /uzbek/ /o'zbek/ /tg/ /tajik/ /tojiki/ /mn/ /mongolian/ /mongol/ /my/ /burmese/ "
+    "/myanmar/ /km/ /khmer/ /lo/ /lao/ /si/ /sinhala/ /ne/ /nepali/ /bo/ /tibetan/ /bod-skad/ /dz/ /dzongkha/ /ti/ /tigrinya/ /om/ /oromo/ /ps/ /pashto/ "
+    "/sd/ /sindhi/ /sa/ /sanskrit/ /zu/ /zulu/ /xh/ /xhosa/ /st/ /sesotho/ /tn/ /setswana/ /ss/ /swati/ /ve/ /venda/ /ts/ /tsonga/ /nr/ /ndebele/ /nso/ "
+    "/northern-sotho/ /sesotho-sa-leboa/ "
 ).split()
+#: Whatever may skip a URL.
+SKIPPED = "|".join([*(rf"\Q{x}\E" for x in [*LOW_VALUE, *LANGUAGE_SEGMENTS, *SKIP_QUERY]), "(?:" + "|".join(rf"\Q{x}\E" for x in SKIP_SUFFIXES) + ")$", "#"])
 FRAGMENTS = "section chapter part tab panel".split()
 TWO_PART_SUFFIXES = "co.uk com.au co.jp co.kr co.za co.in com.br com.mx com.ar com.sg com.hk org.uk net.uk ac.uk gov.uk com.cn net.cn org.cn gov.cn".split()
 PLACEHOLDERS = "example.org example.net test.com test.org test.net localhost local".split()
@@ -92,24 +101,32 @@ def resolve_link(link: Column, base: Column) -> Column:
     folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
     joined = F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(part(base, 1), F.lit(":"), link))
     joined = joined.when(link.startswith("/"), F.concat(origin, link)).otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), link))
-    for _ in range(4):
-        joined = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return joined
+    # the segments of the path are folded into one list, from which .. takes the last
+    path, start = part(joined, 3), F.length(part(joined, 1)) + F.length(part(joined, 2)) + 3
+    segments = F.split(path, "/")
+    fold = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.array_append(a, x))
+    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), fold)
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    resolved = F.concat(F.substring(joined, 1, start), F.when(F.size(kept) == 1, "/").otherwise(F.array_join(kept, "/")), F.substring(joined, start + F.length(path) + 1, F.length(joined)))
+    return F.when(joined.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/[.]"), resolved).otherwise(joined)
 
 
 def skip_reason(url: Column) -> Column:
-    """The first reason for which the site filter skips a URL, else null."""
+    """The first reason for which the site filter skips a URL, else null.
+
+    One compiled pattern passes over the many URLs that hold none of the values; only the others are searched in order.
+    """
     u = F.lower(url)
     suffix = F.get(F.filter(literals(SKIP_SUFFIXES), lambda s: F.endswith(u, s)), F.lit(0))
-    segment = F.get(F.filter(literals(LANGUAGE_SEGMENTS), lambda s: F.contains(u, F.concat(F.lit("/"), s, F.lit("/")))), F.lit(0))
     fragment = F.split_part(u, F.lit("#"), F.lit(2))
-    return F.coalesce(
+    reason = F.coalesce(
         F.concat(F.lit("URL contains low-value pattern: "), first_in(u, LOW_VALUE)),
         F.concat(F.lit("URL has skip extension: "), suffix),
-        F.concat(F.lit("URL contains non-English language path: /"), segment, F.lit("/")),
+        F.concat(F.lit("URL contains non-English language path: "), first_in(u, LANGUAGE_SEGMENTS)),
         F.concat(F.lit("URL has skip query parameter: "), first_in(u, SKIP_QUERY)),
         F.when(has_any(fragment, FRAGMENTS), F.concat(F.lit("URL has skip fragment: "), fragment)),
     )
+    return F.when(u.rlike(SKIPPED), reason)
 
 
 def priority(url: Column, first=SEED_FIRST, second=SEED_NEXT) -> Column:

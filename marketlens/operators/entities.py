@@ -69,9 +69,9 @@ def payload(columns: list[str]) -> Column:
 
 
 def data_hash(data: Column) -> Column:
-    """SHA-256 of the payload with its keys in order."""
+    """SHA-256 of the payload with its keys in order; each value follows its length, so that no two payloads look alike."""
     entries = F.array_sort(F.map_entries(data))
-    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.length(e["value"]), F.lit(":"), e["value"])), "\n"), 256)
 
 
 def take_snapshots(entities, existing=None):
@@ -168,7 +168,7 @@ def import_entities(existing, incoming, key: list[str], update: bool = True):
 def consolidate_products(facts, most: int = 20):
     """One row for each product of a company: union of markets, five tags, the most conservative stage, all sources."""
     ranks = F.create_map(*[F.lit(x) for pair in STAGE_RANK.items() for x in pair])
-    label, value = F.trim(F.split_part("bullet", F.lit(":"), F.lit(1))), F.trim(F.split_part("bullet", F.lit(":"), F.lit(2)))
+    label, value = F.trim(F.split_part("bullet", F.lit(":"), F.lit(1))), F.trim(F.regexp_extract("bullet", "(?s)^[^:]*:(.*)$", 1))  # the value may hold more colons
     joined = lambda c: F.array_join(F.array_sort(c), ",")
     out = facts.groupBy("company_id", "name").agg(
         joined(F.collect_set("market")).alias("markets"), joined(F.slice(F.array_sort(F.collect_set(F.lower("tag"))), 1, 5)).alias("tags"), F.min_by("stage", F.element_at(ranks, F.col("stage"))).alias("stage"),

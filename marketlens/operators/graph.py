@@ -13,7 +13,8 @@ from marketlens.functions import urls
 def reach(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int | None = None) -> DataFrame:
     """(url, depth): each page at its least depth, from seeds (url) over links (from_url, to_url), skipped URLs left out.
 
-    One join and one anti join for each level; every level is written to the shared folder, so that a lost executor
+    Each different target is tested once and the open links are written once. One join and one anti join for each level;
+    every level is written to the shared folder, so that a lost executor
     costs no recomputation of earlier levels. max_pages keeps the first by depth, priority and URL.
     """
     spark = seeds.sparkSession
@@ -23,7 +24,9 @@ def reach(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    open_links = links.where(urls.skip_reason(F.col("to_url")).isNull()).select("from_url", "to_url")
+    targets = links.select("to_url").distinct()
+    targets = saved(targets.where(urls.skip_reason(F.col("to_url")).isNull()), "targets")
+    open_links = saved(links.select("from_url", "to_url").distinct().join(targets, "to_url"), "links")
     seen = saved(seeds.where(urls.skip_reason(F.col("url")).isNull()).select("url", F.lit(0).alias("depth")).distinct(), "0")
     frontier = seen
     for depth in range(1, max_depth + 1):

@@ -64,7 +64,7 @@ def skip(url: str) -> str:
     fragment = f"split_part({u}, '#', 2)"
     return (
         f"coalesce('URL contains low-value pattern: ' || {first_hit(u, urls.LOW_VALUE)}, 'URL has skip extension: ' || {first_hit(u, urls.SKIP_SUFFIXES, 'ends_with({u}, x)')}, "
-        f"'URL contains non-English language path: /' || list_filter({sql_list(urls.LANGUAGE_SEGMENTS)}, lambda x: contains({u}, '/' || x || '/'))[1] || '/', 'URL has skip query parameter: ' || {first_hit(u, urls.SKIP_QUERY)}, "
+        f"'URL contains non-English language path: ' || {first_hit(u, urls.LANGUAGE_SEGMENTS)}, 'URL has skip query parameter: ' || {first_hit(u, urls.SKIP_QUERY)}, "
         f"CASE WHEN {any_hit(fragment, urls.FRAGMENTS)} THEN 'URL has skip fragment: ' || {fragment} END)"
     )
 
@@ -356,7 +356,7 @@ add("h_reason_summary", lambda t: text.outcome_summary(t.site_pages, F.coalesce(
 
 FIELDS = ["name", "status", "version", "pricing"]
 states = lambda t: t.versions.withColumn("data", entities.payload(FIELDS))
-STATE = "coalesce('name=' || name, '') || coalesce(chr(10) || 'pricing=' || pricing, '') || coalesce(chr(10) || 'status=' || status, '') || coalesce(chr(10) || 'version=' || version, '')"
+STATE = "coalesce('name=' || length(name) || ':' || name, '') || coalesce(chr(10) || 'pricing=' || length(pricing) || ':' || pricing, '') || coalesce(chr(10) || 'status=' || length(status) || ':' || status, '') || coalesce(chr(10) || 'version=' || length(version) || ':' || version, '')"
 add("i1_take_snapshots", lambda t: entities.take_snapshots(states(t)).select("entity_id", "n", "data_hash"), f"SELECT entity_id, n, sha256({STATE}) AS data_hash FROM versions QUALIFY row_number() OVER (PARTITION BY entity_id, sha256({STATE}) ORDER BY created_at, n) = 1")
 add("i2_latest_snapshots", lambda t: entities.latest_snapshots(t.versions).select("entity_id", "n", "status"), "SELECT entity_id, n, status FROM versions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, n DESC) = 1")
 LAGGED = "WITH l AS (SELECT *, " + ", ".join(f"lag({f}) OVER w AS p_{f}" for f in [*FIELDS, "n"]) + " FROM versions WINDOW w AS (PARTITION BY entity_id ORDER BY created_at, n))"

@@ -137,3 +137,25 @@ def test_lookups_and_pages(spark):
         catalog.children(df, df, "x", "id")
     assert {r.total_pages for r in catalog.paginate(df, 3, [F.asc("id")]).collect()} == {3}
     assert catalog.since_preset("ytd", "2024-05-06") == "2024-01-01" and catalog.since_preset("7d", "2024-05-06") == "2024-04-30"
+
+
+def test_language_segments_and_deep_links(spark):
+    df = spark.createDataFrame([("https://x.com/sesotho-sa-leboa/a",), ("https://x.com/af/a",), ("https://x.com/O'zbek/",), ("https://x.com/plain/af",)], "u string")
+    got = [r[0] for r in df.select(urls.skip_reason(F.col("u"))).collect()]
+    lead = "URL contains non-English language path: "
+    assert got == [lead + "/sesotho-sa-leboa/", lead + "/af/", lead + "/o'zbek/", None]
+    assert len(urls.LANGUAGE_SEGMENTS) == 215
+    base = "https://x.com/a/b/c/d/e/f/page.html?q=1"
+    links = {"../../../../../z": "/a/z", "./y": "/a/b/c/d/e/f/y", "../" * 9 + "z?w=../v": "/z?w=../v", "..": "/a/b/c/d/e/", "/p/./q/../r/.": "/p/r/"}
+    rows = spark.createDataFrame([(k, base) for k in links], "l string, b string").select("l", urls.resolve_link(F.col("l"), F.col("b"))).collect()
+    assert {r[0]: r[1] for r in rows} == {k: "https://x.com" + v for k, v in links.items()}
+
+
+def test_payload_hashes_tell_values_apart_and_values_keep_colons(spark):
+    from marketlens.operators import entities
+
+    df = spark.createDataFrame([({"a": "1\nb=2"},), ({"a": "1", "b": "2"},), ({"b": "2", "a": "1"},)], "data map<string,string>")
+    one, two, same = (r[0] for r in df.select(entities.data_hash(F.col("data"))).collect())
+    assert one != two == same
+    facts = spark.createDataFrame([(1, "p", "m", "t", "beta", "u", "RATIO: 1:2")], "company_id long, name string, market string, tag string, stage string, url string, bullet string")
+    assert entities.consolidate_products(facts).first()["specs"] == "RATIO=1:2"
