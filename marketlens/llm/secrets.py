@@ -1,9 +1,9 @@
 """Secret scans with DataFrame functions only.
 
 Three base kinds are found by pattern. The method adds spans of kind entropy: runs of token characters whose best
-window has a Shannon entropy above the threshold of its character class. The window slides one character at a time;
-the counts of the character that leaves and of the one that enters change the running sum of n log2 n, nothing is
-counted anew. Allow-listed candidates (placeholders, identifiers of known form) are suppressed.
+window has a Shannon entropy above the threshold of its character class. The window slides one character at a time with
+the counts of its characters, five bits each in a few longs: the character that leaves takes one off its count, the one
+that enters adds one, and both change the running sum of n log2 n; nothing is counted anew. Allow-listed candidates (placeholders, identifiers of known form) are suppressed.
 
 Nulls and edges: a null text counts as empty and has no spans; overlapping spans of different kinds are all kept, but
 an entropy span that touches a base span is not added; repeated rows give repeated rows; other columns are ignored;
@@ -25,29 +25,37 @@ HEX = r"[0-9a-f]{16,}"  # runs are maximal, so this equals [0-9a-f]+ of 16 or mo
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW, STRETCH = 20, 128
+#: Characters of candidates; the count of each has BITS bits (WINDOW needs no more), LANES to a long.
+ALPHABET, BITS, LANES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 5, 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 #: Least entropy (bits) of the best window, by character class; the first class that fits counts.
-CLASSES = ((r"^[0-9]+$", 99.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[a-z0-9]+$|^[A-Z0-9]+$", 3.5), (r"^[A-Za-z0-9+/_=-]+$", 3.7))
+CLASSES = ((r"^[0-9]+$", 3.1), (r"^[A-Za-z+/_=-]+$", 4.05), (r"^[0-9a-fA-F]+$", 3.0), (r"^[a-z0-9]+$|^[A-Z0-9]+$", 3.5), (r"^[A-Za-z0-9+/_=-]+$", 3.7))
 ALLOWED = r"(?i)example|placeholder|changeme|your[_-]|x{4,}|0{7,}|123456789|abcdefgh|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
 def _weight(n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)]), n + 1)
+    return F.get(F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)]), n)
 
 
 def best_entropy(text: Column) -> Column:
-    """The largest entropy of any window of a string of at most STRETCH + WINDOW characters; 0 for shorter ones."""
+    """The largest entropy of any window of a string of at most STRETCH + WINDOW characters of ALPHABET; 0 for shorter ones."""
+    slot = lambda at: F.position(F.substring(text, at, F.lit(1)), F.lit(ALPHABET)) - 1
+    count = lambda counts, c: F.call_function("shiftright", F.get(counts, F.floor(c / LANES).cast("int")), c % LANES * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    one = lambda c, word: F.when(F.floor(c / LANES) == word, F.call_function("shiftleft", F.lit(1).cast("long"), c % LANES * BITS)).otherwise(F.lit(0).cast("long"))
 
     def step(state: Column, at: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), at - WINDOW), F.least(F.lit(WINDOW), at - 1))
-        full, leaves, enters = at > WINDOW, F.substring(before, F.lit(1), F.lit(1)), F.substring(text, at, F.lit(1))
-        rest = F.when(full, F.substring(before, F.lit(2), F.lit(WINDOW))).otherwise(before)
-        of = lambda c, s: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-        gone = F.when(full, _weight(of(leaves, before)) - _weight(of(leaves, before) - 1)).otherwise(0.0)
-        total = state["total"] - gone + _weight(of(enters, rest) + 1) - _weight(of(enters, rest))
-        return F.struct(total.alias("total"), F.when(at >= WINDOW, F.greatest(state["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(state["best"]).alias("best"))
-
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        full, enters = at > WINDOW, slot(at)
+        leaves = F.when(full, slot(F.greatest(F.lit(1), at - WINDOW))).otherwise(F.lit(-1))
+        was = count(state["counts"], F.greatest(leaves, F.lit(0)))
+        now = count(state["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
+        gone = F.when(full, _weight(was) - _weight(was - 1)).otherwise(0.0)
+        total = state["total"] - gone + _weight(now + 1) - _weight(now)
+        counts = F.transform(state["counts"], lambda n, word: n + one(enters, word) - F.when(full, one(leaves, word)).otherwise(F.lit(0).cast("long")))
+        best = F.when(at >= WINDOW, F.greatest(state["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(state["best"])
+        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
+
+    none = F.array(*[F.lit(0).cast("long")] * -(-len(ALPHABET) // LANES))
+    start = F.struct(none.alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
     return F.when(F.length(text) >= WINDOW, F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s["best"])).otherwise(0.0)
 
 
@@ -58,8 +66,7 @@ def looks_random(candidate: Column) -> Column:
         least = F.when(candidate.rlike(pattern), bits).otherwise(least)
     cut = rf"(.{{1,{STRETCH}}})(?=(.{{0,{WINDOW - 1}}}))"
     stretches = F.zip_with(F.regexp_extract_all(candidate, F.lit(cut), F.lit(1)), F.regexp_extract_all(candidate, F.lit(cut), F.lit(2)), lambda a, b: F.concat(a, b))
-    mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]") & ~candidate.rlike(ALLOWED)
-    return F.when(mixed, F.exists(stretches, lambda s: best_entropy(s) >= least)).otherwise(False)
+    return F.when(~candidate.rlike(ALLOWED), F.exists(stretches, lambda s: best_entropy(s) >= least)).otherwise(False)
 
 
 def _spans(df: DataFrame, kind: str, pattern: str, keep, only_if: Column | None = None) -> DataFrame:
