@@ -236,3 +236,22 @@ def this_week(signals, as_of: str, self_id: str = "cmp_self", k: int = 5):
 
 def normalized_products(df):
     return df.withColumn("stage", text.stage(F.col("stage")))
+
+
+def scored_at_least(pages, threshold: float = 0.5):
+    return pages.where(F.col("score") >= threshold)
+
+
+def extractable(fingerprints):
+    """Fingerprints whose page has text to extract from."""
+    return fingerprints.where("normalized_text_len > 0 and extracted_text is not null")
+
+
+def fingerprints_with_page(fingerprints, pages):
+    return fingerprints.join(pages.select(F.col("id").alias("page_id"), "canonical_url"), "page_id")
+
+
+def known_ids(incoming, existing, key: str = "name"):
+    """(id, old_id) of every incoming row: the least id of the existing rows of its key, null if there is none."""
+    old = existing.groupBy(key).agg(F.min("id").alias("old_id"))
+    return incoming.select(key, "id").join(old, key, "left").groupBy("id").agg(F.min("old_id").alias("old_id"))

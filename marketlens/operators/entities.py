@@ -10,7 +10,7 @@ from marketlens.functions import text, urls
 # Authority of the kinds of page.
 PAGE_RANKS = {"product": 10, "pricing": 9, "datasheet": 8, "api": 8, "release": 7, "docs": 6, "whitepaper": 5, "manual": 5, "blog": 4, "news": 3, "about": 2, "unknown": 1}
 LIST_FIELDS, PROSE_FIELDS = ("tags", "markets", "features", "compliance"), ("description", "summary", "notes")
-STAGE_RANK = {"discontinued": 0, "alpha": 1, "beta": 2, "ga": 3}
+STAGE_RANK = {"discontinued": 0, "deprecated": 1, "alpha": 2, "beta": 3, "ga": 4}
 
 
 def natural_key(kind: str, competitor: Column, **c: Column) -> Column:
@@ -151,18 +151,43 @@ def upsert_summary(merged):
     return merged.agg(F.count_if(F.col("status") != "kept").alias("processed"), F.count_if(F.col("status") == "created").alias("created"), F.count_if(F.col("status") == "updated").alias("updated"), F.sum(F.size("changed")).cast("long").alias("changes"))
 
 
-def upsert_all(tables: dict[str, tuple[DataFrame, DataFrame, str, list[str]]]) -> dict[str, DataFrame]:
-    """Upserts in dependency order: companies, products, capabilities, then the rest."""
-    order = ["company", "product", "capability"]
-    return {name: upsert(*tables[name]) for name in sorted(tables, key=lambda n: (order.index(n) if n in order else len(order), n))}
+def key_map(existing, incoming, key: str):
+    """(key, id) of every natural key: the id of the existing entity, else the least id that comes with the key."""
+    of = lambda df, age: df.select(F.col(key).alias("key"), "id", F.lit(age).alias("age"))
+    both = of(existing, 0).unionByName(of(incoming, 1)).where("key is not null")
+    return both.groupBy("key").agg(F.min(F.struct("age", "id"))["id"].alias("id"))
 
 
-def import_entities(existing, incoming, key: list[str], update: bool = True):
-    """First row of each key of incoming, added to existing; update says whether a known key takes the new values."""
-    first = incoming.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("rn = 1").drop("rn")
-    if not update:
-        return existing.unionByName(first.join(existing.select(*key), key, "left_anti"))
-    return existing.join(first.select(*key), key, "left_anti").unionByName(first)
+def upsert_all(tables: dict[str, tuple[DataFrame, DataFrame, str, list[str]]], parents: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
+    """Upserts (existing, incoming, key, fields) of each kind in dependency order: companies, products, capabilities, the rest.
+
+    parents has the kind of the parent by kind and column: such a column of incoming rows holds the natural key of the
+    parent and gets the id that this has, null where there is none. Of incoming rows of one key that of the least id counts.
+    """
+    order, ids, out = ["company", "product", "capability"], {}, {}
+    for kind in sorted(tables, key=lambda n: (order.index(n) if n in order else len(order), n)):
+        existing, incoming, key, fields = tables[kind]
+        incoming = incoming.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where("rn = 1").drop("rn")
+        for column, parent in (parents or {}).get(kind, {}).items():
+            known = ids[parent].select(F.col("key").alias(column), F.col("id").alias("__id"))
+            incoming = incoming.join(known, column, "left").withColumn(column, F.col("__id")).drop("__id")
+        ids[kind], out[kind] = key_map(existing, incoming, key), upsert(existing, incoming, key, fields)
+    return out
+
+
+def import_entities(existing, incoming, key: list[str], update: list[str] | None = None):
+    """existing with the first row of each new key of incoming; a known key keeps its id and takes the columns of update.
+
+    Of several existing rows of one key the first by id is updated; rows with a null in the key are new.
+    """
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    first = incoming.withColumn("rn", nth).where("rn = 1").drop("rn")
+    fresh = first.join(existing.select(*key).distinct(), key, "left_anti")
+    if update:
+        known = existing.withColumn("__nth", nth).join(first.select(*key, F.struct(*update).alias("__new")), key, "left")
+        takes = (F.col("__nth") == 1) & F.col("__new").isNotNull()
+        existing = known.select(*[F.when(takes, F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in update else c for c in existing.columns])
+    return existing.unionByName(fresh)
 
 
 def consolidate_products(facts, most: int = 20):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,8 +131,8 @@ add("b12_paginate", lambda t: catalog.paginate(t.signals.select("id", "published
 add("b13_classify_urls", lambda t: catalog.split_urls(t.site_pages).select("page_id", "skip", "reason"), f"SELECT page_id, {skip('url')} IS NOT NULL AS skip, {skip('url')} AS reason FROM site_pages")
 add("b14_split_urls", lambda t: catalog.split_urls(t.site_pages).groupBy("session_id").agg(F.count_if("skip").alias("skipped"), F.count_if(~F.col("skip")).alias("kept")),
     f"SELECT session_id, count(*) FILTER (r IS NOT NULL) AS skipped, count(*) FILTER (r IS NULL) AS kept FROM (SELECT session_id, {skip('url')} AS r FROM site_pages) q GROUP BY 1")
-add("b15_score_threshold", lambda t: t.crawled.where("score >= 0.5").select("id", "score"), "SELECT id, score FROM crawled WHERE score >= 0.5")
-add("b16_extractable", lambda t: t.fingerprints.where("normalized_text_len > 0 and extracted_text is not null").select("id", "normalized_text_len"), "SELECT id, normalized_text_len FROM fingerprints WHERE normalized_text_len > 0 AND extracted_text IS NOT NULL")
+add("b15_score_threshold", lambda t: catalog.scored_at_least(t.crawled).select("id", "score"), "SELECT id, score FROM crawled WHERE score >= 0.5")
+add("b16_extractable", lambda t: catalog.extractable(t.fingerprints).select("id", "normalized_text_len"), "SELECT id, normalized_text_len FROM fingerprints WHERE normalized_text_len > 0 AND extracted_text IS NOT NULL")
 NOISE_HITS = f"list_filter({sql_list(urls.NOISE_SCORING)}, lambda x: contains(lower(url), x))"
 add("b17_scoring_eligibility", lambda t: catalog.scoring_eligibility(pages.page_metadata(t.site_pages)).select("page_id", "eligible", "scoring_reason"),
     f"SELECT page_id, len({NOISE_HITS}) = 0 AS eligible, CASE WHEN len({NOISE_HITS}) > 0 THEN 'noise: ' || array_to_string({NOISE_HITS}, ', ') ELSE 'eligible' END AS scoring_reason FROM site_pages")
@@ -142,8 +140,8 @@ add("b18_list_sessions", lambda t: catalog.window_of(t.crawl_sessions.where("com
     "SELECT id, started_at FROM crawl_sessions WHERE competitor = 'acme' ORDER BY started_at DESC, id LIMIT 20 OFFSET 5")
 add("b19_session_status", lambda t: catalog.session_status(t.crawl_sessions).select("id", "state"),
     "SELECT id, CASE WHEN completed_at IS NULL THEN 'running' WHEN total > 0 AND failed >= total THEN 'failed' WHEN total > 0 AND failed / total > 0.3 THEN 'degraded' ELSE 'completed' END AS state FROM crawl_sessions")
-add("b20_existing_runs", lambda t: catalog.split_existing_runs(t.crawl_sessions.select("id", F.col("crawl_id"), "competitor", "schema_version").where("id % 3 = 0"), t.crawl_sessions.where("id % 3 = 1"), ["crawl_id", "competitor", "schema_version"]).select("id", "reused"),
-    "SELECT id, EXISTS (SELECT 1 FROM crawl_sessions s WHERE s.id % 3 = 1 AND s.crawl_id = r.crawl_id AND s.competitor = r.competitor AND s.schema_version = r.schema_version) AS reused FROM (SELECT * FROM crawl_sessions) r WHERE id % 3 = 0")
+add("b20_existing_runs", lambda t: catalog.split_existing_runs(t.crawl_sessions.select("id", F.col("crawl_id"), "competitor", "schema_version"), t.crawl_sessions.where("completed_at is not null"), ["crawl_id", "competitor", "schema_version"]).select("id", "reused"),
+    "SELECT id, EXISTS (SELECT 1 FROM crawl_sessions s WHERE s.completed_at IS NOT NULL AND s.crawl_id = r.crawl_id AND s.competitor = r.competitor AND s.schema_version = r.schema_version) AS reused FROM (SELECT * FROM crawl_sessions) r")
 add("b23_website_columns", lambda t: catalog.website_columns(t.companies).select("id", "website_url", "website_host"),
     f"SELECT id, website_url, {host('website_url')} AS website_host FROM (SELECT id, CASE WHEN starts_with(website, 'http') THEN website ELSE 'https://' || website END AS website_url FROM companies) q")
 
@@ -154,7 +152,7 @@ add("c1_product_capabilities", lambda t: catalog.product_capabilities(t.product_
 add("c2_product_company", lambda t: catalog.product_company(t.products, t.companies).select("p.id", F.col("c.name").alias("company_name")), "SELECT p.id, c.name AS company_name FROM products p JOIN companies c ON p.company_id = c.id")
 add("c3_signals_with_source", lambda t: catalog.signals_with_source(t.signals, t.sources).select("s.id", "o.origin", "o.credibility"), "SELECT s.id, o.origin, o.credibility FROM signals s LEFT JOIN sources o ON s.source_id = o.id")
 add("c4_products_with_signals", lambda t: catalog.products_with_signals(t.products, catalog.facet_signals(t.signals, types=("error",))).select("id", "name"), "SELECT id, name FROM products WHERE id IN (SELECT unnest(product_ids) FROM signals WHERE type = 'error')")
-add("c5_fingerprints_with_page", lambda t: t.fingerprints.select("page_id", "page_type").join(t.crawled.select(F.col("id").alias("page_id"), "canonical_url"), "page_id"), "SELECT page_id, page_type, canonical_url FROM fingerprints JOIN (SELECT id AS pid, canonical_url FROM crawled) c ON page_id = pid")
+add("c5_fingerprints_with_page", lambda t: catalog.fingerprints_with_page(t.fingerprints.select("page_id", "page_type"), t.crawled), "SELECT page_id, page_type, canonical_url FROM fingerprints JOIN (SELECT id AS pid, canonical_url FROM crawled) c ON page_id = pid")
 CANDIDATES = "SELECT c_custkey AS cid, CASE WHEN c_custkey % 2 = 0 THEN 'supplier-' || lpad(CAST(c_custkey % 40 AS VARCHAR), 9, '0') || '.com' ELSE NULL END AS domain, 'Supplier ' || lpad(CAST(c_custkey % 60 AS VARCHAR), 9, '0') AS name FROM customer"
 add("c6_match_companies", lambda t: catalog.match_existing_companies(t.customer.select(F.col("c_custkey").alias("cid"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("supplier-"), F.lpad((F.col("c_custkey") % 40).cast("string"), 9, "0"), F.lit(".com"))).alias("domain"), F.concat(F.lit("Supplier "), F.lpad((F.col("c_custkey") % 60).cast("string"), 9, "0")).alias("name")), t.companies.withColumn("pos", F.col("id"))),
     f"""WITH cand AS ({CANDIDATES}), known AS (SELECT id, {domain(host("CASE WHEN starts_with(website, 'http') THEN website ELSE 'https://' || website END"))} AS domain, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS bare FROM companies)
@@ -165,9 +163,9 @@ add("c7_apply_scores", lambda t: catalog.apply_scores(t.crawled, t.crawled.where
     SELECT id, coalesce(new_score, score) AS score, coalesce(new_category, primary_category) AS primary_category, new_score IS NOT NULL AS updated FROM r LEFT JOIN s ON r.canonical_url = s.canonical_url AND rn = 1 AND new_score > 0""")
 add("c8_probe_cache", lambda t: catalog.probe_cache(t.requests, t.cache, AS_OF).groupBy("hit").agg(F.count("*").alias("n")),
     f"SELECT hit, count(*) AS n FROM (SELECT cache_key IN (SELECT cache_key FROM cache WHERE expires_at > TIMESTAMP '{AS_OF}') AS hit FROM requests) q GROUP BY 1")
-add("c9_update_cache", lambda t: catalog.update_cache(t.cache, t.requests.where("request_id % 17 = 0").select(F.col("request_id").alias("n"), "cache_key", F.col("prompt").alias("response")), AS_OF),
-    f"""SELECT n, cache_key, response, expires_at FROM (SELECT n, cache_key, response, expires_at, 1 AS age FROM cache UNION ALL SELECT request_id, cache_key, prompt, TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY, 0 FROM requests WHERE request_id % 17 = 0) q QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY age, n DESC) = 1""")
-add("c10_upsert_match", lambda t: t.new_products.select("name", "id").join(t.old_products.select("name", F.col("id").alias("old_id")), "name", "left").groupBy("id").agg(F.min("old_id").alias("old_id")), "SELECT n.id, min(o.id) AS old_id FROM new_products n LEFT JOIN old_products o ON n.name = o.name GROUP BY 1")
+add("c9_update_cache", lambda t: catalog.update_cache(t.cache, t.requests.select(F.col("request_id").alias("n"), "cache_key", F.col("prompt").alias("response")), AS_OF),
+    f"""SELECT n, cache_key, response, expires_at FROM (SELECT n, cache_key, response, expires_at, 1 AS age FROM cache UNION ALL SELECT request_id, cache_key, prompt, TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY, 0 FROM requests) q QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY age, n DESC) = 1""")
+add("c10_upsert_match", lambda t: catalog.known_ids(t.new_products, t.old_products), "SELECT n.id, min(o.id) AS old_id FROM new_products n LEFT JOIN old_products o ON n.name = o.name GROUP BY 1")
 add("c11_companies_matching", lambda t: catalog.companies_matching(t.companies, "S3").select("id", "name"), "SELECT id, name FROM companies WHERE contains(lower(name), 's3') OR list_bool_or(list_transform(aliases, lambda a: contains(lower(a), 's3')))")
 add("c12_orphans", lambda t: catalog.orphans(t.signals, t.sources, "source_id").select("id", "source_id"), "SELECT id, source_id FROM signals WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT id FROM sources)")
 add("c13_signal_links", lambda t: catalog.signal_links(t.signals, "product_ids", "product_id"), "SELECT DISTINCT id AS signal_id, unnest(product_ids) AS product_id FROM signals")
@@ -223,8 +221,10 @@ add("f2_global_search", lambda t: catalog.global_search(t.companies, t.products,
 add("f3_union_ci", lambda t: t.companies.select("id", F.array_join(text.union_ci(F.array("aliases", "tags", F.transform("aliases", F.lower))), "|").alias("merged")), "SELECT id, array_to_string(list_concat(aliases, tags), '|') AS merged FROM companies")
 add("f5_field_sets", lambda t: t.products.groupBy("company_id").agg(F.array_join(F.array_sort(F.array_except(F.collect_set("category"), F.collect_set(F.when(F.col("size") > 5, F.col("category"))))), "|").alias("only_small")),
     "SELECT company_id, coalesce(string_agg(category, '|' ORDER BY category), '') AS only_small FROM (SELECT company_id, CASE WHEN max(size) > 5 THEN NULL ELSE category END AS category FROM products GROUP BY company_id, category) q GROUP BY 1")
-add("f6_import_entities", lambda t: entities.import_entities(t.old_products, t.new_products, ["name"]).select("name", "category", "price", "id"),
-    "WITH f AS (SELECT * FROM new_products QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) = 1) SELECT name, category, price, id FROM old_products WHERE name NOT IN (SELECT name FROM f) UNION ALL SELECT name, category, price, id FROM f")
+add("f6_import_entities", lambda t: entities.import_entities(t.old_products, t.new_products, ["name"], ["category", "price"]).select("name", "category", "price", "id"),
+    """WITH f AS (SELECT * FROM new_products QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) = 1), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS rn FROM old_products)
+    SELECT o.name, CASE WHEN rn = 1 AND f.id IS NOT NULL THEN f.category ELSE o.category END AS category, CASE WHEN rn = 1 AND f.id IS NOT NULL THEN f.price ELSE o.price END AS price, o.id FROM o LEFT JOIN f ON o.name = f.name
+    UNION ALL SELECT name, category, price, id FROM f WHERE name NOT IN (SELECT name FROM old_products)""")
 
 # --- G: page mining ---------------------------------------------------------------------------------------------
 
@@ -389,8 +389,14 @@ add("j3_resolve_fields", lambda t: entities.resolve_fields(values(t)).select("en
     SELECT entity, field, value AS resolved, round(CASE WHEN field = 'description' AND rank - nx < 0.2 THEN rank * 0.8 ELSE rank END, 9) AS confidence FROM r WHERE field <> 'tags' AND rn = 1
     UNION ALL SELECT entity, field, string_agg(value, ', ' ORDER BY rn) FILTER (first), round(least(sum(rank) FILTER (first) / count(*), 1.0), 9) FROM k GROUP BY 1, 2""")
 add("j4_upsert", lambda t: entities.upsert(t.old_products, t.new_products, "id", ["name", "category", "price"]).select("id", "name", "category", "price", "status"), f"WITH {UPSERT} SELECT id, name, category, price, status FROM m")
-add("j5_upsert_all", lambda t: reduce(DataFrame.unionByName, [df.groupBy("status").agg(F.count("*").alias("n")).withColumn("kind", F.lit(k)) for k, df in entities.upsert_all({"product": (t.old_products, t.new_products, "id", ["name", "category"]), "company": (t.companies, t.companies.where("is_self"), "id", ["name"])}).items()]))
-add("j6_import_entities", lambda t: entities.import_entities(t.old_products, t.new_products, ["name", "category"], update=False).select("name", "category", "id"),
+add("j5_upsert_all", lambda t: entities.upsert_all({
+        "product": (t.old_products.withColumn("company", F.concat(F.lit("cmp_"), F.col("id") % 10)), t.new_products.withColumn("company", F.concat(F.lit("Supplier "), F.lpad((F.col("id") % 12).cast("string"), 9, "0"))), "name", ["category", "company"]),
+        "company": (t.companies, t.companies.where("is_self"), "name", ["website"])}, {"product": {"company": "company"}})["product"].select("name", "category", "company", "status"),
+    """WITH m AS (SELECT name AS known, min(id) AS company FROM companies GROUP BY 1), f AS (SELECT *, 'Supplier ' || lpad(CAST(id % 12 AS VARCHAR), 9, '0') AS known FROM new_products QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) = 1),
+    n AS (SELECT f.name, f.category, m.company FROM f LEFT JOIN m ON f.known = m.known), o AS (SELECT name, category, 'cmp_' || (id % 10) AS company FROM old_products)
+    SELECT coalesce(n.name, o.name) AS name, coalesce(n.category, o.category) AS category, coalesce(n.company, o.company) AS company,
+    CASE WHEN o.name IS NULL THEN 'created' WHEN n.name IS NULL THEN 'kept' WHEN coalesce(n.category, o.category) IS DISTINCT FROM o.category OR coalesce(n.company, o.company) IS DISTINCT FROM o.company THEN 'updated' ELSE 'unchanged' END AS status FROM o FULL JOIN n ON o.name = n.name""")
+add("j6_import_entities", lambda t: entities.import_entities(t.old_products, t.new_products, ["name", "category"]).select("name", "category", "id"),
     "SELECT name, category, id FROM old_products UNION ALL SELECT name, category, id FROM (SELECT * FROM new_products QUALIFY row_number() OVER (PARTITION BY name, category ORDER BY id) = 1) f WHERE NOT EXISTS (SELECT 1 FROM old_products o WHERE o.name = f.name AND o.category = f.category)")
 STAGED = "CASE stage WHEN 'discontinued' THEN 0 WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END"
 add("j7_consolidate_products", lambda t: entities.consolidate_products(t.facts),

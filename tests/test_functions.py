@@ -159,3 +159,21 @@ def test_payload_hashes_tell_values_apart_and_values_keep_colons(spark):
     assert one != two == same
     facts = spark.createDataFrame([(1, "p", "m", "t", "beta", "u", "RATIO: 1:2")], "company_id long, name string, market string, tag string, stage string, url string, bullet string")
     assert entities.consolidate_products(facts).first()["specs"] == "RATIO=1:2"
+
+
+def test_import_keeps_ids_and_updates_listed_columns_only(spark):
+    old = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (3, "b", "z", 3)], "id int, name string, category string, price int")
+    new = spark.createDataFrame([(7, "a", None, 9), (8, "a", "w", 8), (9, "c", "v", 7), (10, None, "u", 6)], old.schema)
+    got = {tuple(r) for r in entities.import_entities(old, new, ["name"], ["category"]).collect()}
+    assert got == {(1, "a", None, 1), (2, "a", "y", 2), (3, "b", "z", 3), (9, "c", "v", 7), (10, None, "u", 6)}
+    assert {r.id for r in entities.import_entities(old, new, ["name"]).collect()} == {1, 2, 3, 9, 10}
+
+
+def test_ordered_upserts_give_children_the_ids_of_known_and_new_parents(spark):
+    companies = spark.createDataFrame([("c1", "Acme")], "id string, name string").selectExpr("*", "'w' as website")
+    more = spark.createDataFrame([("c7", "Acme"), ("c8", "New")], "id string, name string").selectExpr("*", "'w' as website")
+    products = spark.createDataFrame([(1, "p", "c1")], "id int, name string, company string")
+    incoming = spark.createDataFrame([(5, "p", "Acme"), (6, "q", "New"), (7, "r", "None")], products.schema)
+    out = entities.upsert_all({"product": (products, incoming, "name", ["company"]), "company": (companies, more, "name", ["website"])}, {"product": {"company": "company"}})
+    assert list(out) == ["company", "product"]
+    assert {(r.name, r.company, r.status) for r in out["product"].collect()} == {("p", "c1", "unchanged"), ("q", "c8", "created"), ("r", None, "created")}
