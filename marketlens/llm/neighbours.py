@@ -103,7 +103,8 @@ def search(ids, x, query_ids, q, top: float, start: np.ndarray | None = None, k:
             break
         for leaf in np.flatnonzero(now.any(0)):
             asks, rows = np.flatnonzero(now[:, leaf]), leaves[leaf]
-            s = q[asks] @ x[rows].T
+            # one order of summation for every pair: a matrix product's last bits depend on the shape of the batch
+            s = np.einsum("id,jd->ij", q[asks], x[rows])
             s[query_ids[asks][:, None] == ids[rows][None, :]] = -np.inf
             better = (s >= best[asks, -1][:, None]).any(1)
             asks, s = asks[better], s[better]

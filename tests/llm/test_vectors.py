@@ -65,3 +65,26 @@ def test_neighbours_recall(spark, sf, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF", 16)
     monkeypatch.setattr(neighbours, "QUERIES", 8)
     assert recall(spark, spark.read.parquet(f"{sf}/embeddings.parquet"), 20) >= 0.9
+
+
+def test_ties_over_blocks_go_to_the_smaller_id(spark, monkeypatch):
+    """Vectors that 24 rows share, dealt to several blocks and leaves: tied scores are equal to the last bit."""
+    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    rng = np.random.default_rng(3)
+    kinds = rng.normal(size=(60, 16)).astype("float32")
+    of = rng.permutation(np.repeat(np.arange(60), 24))
+    rows = [(i, kinds[k].tolist(), 0) for i, k in enumerate(of)]
+    found: dict = {}
+    for r in neighbours.nearest(Scratch(spark, "ties"), spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    x = kinds[of].astype("float64")
+    scores = np.einsum("id,jd->ij", x, x)
+    assert len(found) == 72
+    missed = 0
+    for at, got in found.items():
+        order = [j for j in np.lexsort((np.arange(len(x)), -scores[at])) if j != at][:20]
+        missed += len(set(order) - {v for _, v, _ in got})
+        ranked = sorted(got)
+        assert [(-s, v) for _, v, s in ranked] == sorted((-s, v) for _, v, s in ranked)
+        assert all(s == scores[at, v] for _, v, s in ranked)
+    assert missed <= 0.1 * 72 * 20
