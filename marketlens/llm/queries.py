@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.llm import jaccard, lines, mixing, nearcopies, neighbours, pieces, quality, secrets, suffixes, toxicity
+from marketlens.llm import jaccard, lines, mixing, nearcopies, neighbours, periods, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lines": lines.query,
     "op9_sentencepiece": pieces.query,
     "op10_nearcopies": nearcopies.query,
+    "op11_periods": periods.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
