@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.llm import jaccard, lines, mixing, nearcopies, neighbours, periods, pieces, quality, secrets, suffixes, toxicity
+from marketlens.llm import jaccard, lines, merkle, mixing, nearcopies, neighbours, periods, pieces, quality, secrets, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_sentencepiece": pieces.query,
     "op10_nearcopies": nearcopies.query,
     "op11_periods": periods.query,
+    "op12_merkle": merkle.query,
+    "op13_tokens": tokens.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -3,7 +3,6 @@ import re
 import zlib
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -128,10 +127,16 @@ def test_edges_and_extra_columns(spark):
     assert [r[:5] for r in rows_of(periods.digests(periods.planted(null)))] == [(None, 1, 0, 30, 1)] * 2
 
 
-@pytest.mark.parametrize("calls", [periods.CALL_WORDS, 500])
-def test_contract_on_the_whole_table(spark, sf, calls, monkeypatch):
-    monkeypatch.setattr(periods, "CALL_WORDS", calls)
+def test_contract_on_the_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = sorted(((r.doc_id, *contract(r.doc_id, r.text)) for r in docs), key=str)
     got = rows_of(periods.query(spark, sf))
     assert got == want and sum(r[1] > 0 for r in got) >= 10
+
+
+def test_calls_do_not_change_results(monkeypatch):
+    texts = [t for t in TEXTS if len(t or "") < 20_000] * 3
+    whole = [[r.tolist() for r in periods._runs_of(part)] for _, part in periods._calls(texts)]
+    monkeypatch.setattr(periods, "CALL_WORDS", 60)
+    parts = [[r.tolist() for r in periods._runs_of(part)] for _, part in periods._calls(texts)]
+    assert len(whole) == 1 and len(parts) > 5 and sum(parts, []) == whole[0]
