@@ -3,8 +3,9 @@
 Every source gets a number of words to contribute. Its documents start with the same fractional inclusion
 probability and are then moved, three at a time and large ones first, through the null space of the balancing
 constraints (words and documents of the source stay constant) until a probability reaches 0 or 1. Blocks of bounded
-size do this independently; the at most two units that a block leaves go on to the next level, and only the last two of
-each source are rounded (landing), to what is nearest in words, then in documents.
+size do this independently; the at most two units that a block leaves go on to the next level. The last flight of a
+source leaves HELD units out, spread evenly over the order of sizes; of all choices of these and the two that remain the
+one nearest to the totals of words and documents is taken (landing).
 
 Nulls and edges: a null or empty text counts 0 words, is taken as often as is certain and never selected beyond it; a null source is a source of its own and comes last;
 repeated rows are units of their own, dealt to blocks apart; rows that share an id only are different units; an empty
@@ -27,6 +28,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, CAP = 1.5, 2.0
 #: Units that one task balances at once.
 BLOCK = 20_000
+#: Units of a source that wait for the landing, and what a document off weighs in it, as a share of their mean size.
+HELD, DOCUMENT = 12, 0.02
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -87,23 +90,34 @@ def flight(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the last one or two fractional units: the choice nearest to the total of words, then to that of units."""
+    """Rounds the last HELD + 2 fractional units at most: the choice nearest to the totals of words and documents."""
     free = np.flatnonzero((x > 0) & (x < 1))
     options = (np.arange(2 ** len(free))[:, None] >> np.arange(len(free))) & 1
     off = options - x[free]
+    cost = np.abs(off @ size[free]) + DOCUMENT * size[free].mean() * np.abs(off.sum(axis=1)) if len(free) else np.zeros(1)
     x = x.copy()
-    x[free] = options[np.lexsort((np.abs(off.sum(axis=1)), np.abs(off @ size[free])))[0]]
+    x[free] = options[cost.argmin()]
     return x
 
 
+def selected(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Takes every unit or none, near the totals of x and x * size: a flight without the held units, then the landing."""
+    free = np.flatnonzero((x > 0) & (x < 1))
+    rest = np.ones(len(x), bool)
+    rest[free[np.linspace(0, len(free) - 1, min(HELD, len(free))).astype(int)]] = False
+    y = x.copy()
+    y[rest] = flight(x[rest], size[rest], rng)
+    return landing(y, size)
+
+
 def _balance(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "of"], ascending=[False, True, True], kind="stable")
         name = rows["source"].iloc[0]
         rng = np.random.default_rng([zlib.crc32(str(name).encode()), int(rows["block"].iloc[0]), int(rows["level"].iloc[0])])
         size = rows["size"].to_numpy("float64")
-        x = flight(rows["x"].to_numpy("float64"), size, rng)
-        return rows.assign(x=landing(x, size) if last else x)
+        x = rows["x"].to_numpy("float64")
+        return rows.assign(x=selected(x, size, rng) if last else flight(x, size, rng))
 
     return run
 
