@@ -171,7 +171,8 @@ def prove(scratch: Scratch, tree: Manifest) -> DataFrame:
     head = climbed.where("first and not single").select(F.col("run").alias("id"), "proof")
     runs = nodes.where("copy = 0").select("id", "children")
     shared = head.join(runs, "id").select(F.col("id").alias("its"), "children", F.expr("substring(proof, octet_length(children) - 31)").alias("above"))
-    both = climbed.join(shared, F.when(~F.col("first"), F.col("run")) == F.col("its"), "left")
+    # first leaves look for nothing, each under a key of its own
+    both = climbed.join(shared, F.when(~F.col("first"), F.col("run")).otherwise(F.concat(F.lit("-"), "spread")) == F.col("its"), "left")
     at = F.pmod(F.col("spread"), F.lit(FAN)).cast("int")
     own = F.concat(F.substring("children", F.lit(1), 32 * at), F.substring("children", 32 * at + 33, F.octet_length("children")), "above")
     return both.select("doc_id", "source", "leaf", F.col("digest").alias("folded_root"), F.when(F.col("first"), F.col("proof")).otherwise(own).alias("proof"))
