@@ -1,15 +1,16 @@
 """Token ids in binary files, coded by a range asymmetric numeral system (rANS) with one shared frequency table.
 
-Documents are dealt over files by ranges of doc_id, encoded with a byte-level tokenizer, ended by an id and written one
-behind the other. A file has a header and sections of whole documents; a section has blocks of BLOCK ids, a block the
+Documents are dealt by ranges of doc_id, encoded once with a byte-level tokenizer, ended by an id and put one behind the
+other into sections of whole documents, which are kept until the frequencies of all ids are known and then coded. A file
+has a header and sections that follow each other; a section has blocks of BLOCK ids, a block the
 lengths of the documents that begin in it, LANES interleaved coder states, a checkpoint (states and place) every STEPS
 steps, and the coded words, all under a checksum. Blocks are coded independently, and every checkpoint starts a unit of
 its own, so a reader decodes thousands of lanes side by side. The coding follows the published rANS construction with
 64-bit states and 32-bit words.
 
-Each task writes one file under a name of its own into the shared folder and reports its sections; the table of sections
-is written by Spark, which keeps the rows of one attempt of each task only, so files of lost or repeated attempts are
-never read. The first position of a section is the sum of all files before it, one row a file.
+Each task writes files under names of its own into the shared folder and reports their sections; that table is written
+by Spark, which keeps the rows of one attempt of each task only, so files of lost or repeated attempts are never read.
+The first position of a section is the sum of all ranges before its own, one row each, and of the sections before it.
 
 Nulls and edges: a null text is an empty one and has the end id only; rows with null ids come first; rows that share an
 id are ordered by their text's hash; texts of any length are taken whole; other columns are ignored; an empty table
@@ -24,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -46,15 +48,16 @@ SCALE = 20
 LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
 MAGIC = b"MLTOKEN1"
 HEADER, BLOCK_HEADER = struct.Struct("<8s6I"), struct.Struct("<4I")
-#: Characters of text that are encoded by one call, and pieces of text whose ids are remembered.
+#: Characters of text that are encoded by one call, and pieces of text whose ids are remembered in each of two generations.
 CALL_CHARS, KNOWN = 4_000_000, 300_000
-SECTION_FIELDS = "part int, section int, file string, at long, bytes long, n_docs long, n_tokens long, before long"
-SECTION_SCHEMA = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in SECTION_FIELDS.split(", ")])
+PLAIN = "part int, section int, names array<bigint>, sizes array<bigint>, ids binary, wide boolean"
+PLACED = "part int, section int, file string, at long, bytes long, n_docs long, n_tokens long"
+KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 
 #: A byte-level tokenizer never joins a character that is no white space to a blank or line end behind it.
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space of other kinds, and characters that some pattern libraries count as such.
-OTHER_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + list("\u180e\u200b\ufeff")
 
 
 class Encoder:
@@ -71,21 +74,27 @@ class Encoder:
         added = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.in_pieces = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not added
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
-        pieces = [PIECE.findall(t) if self.in_pieces and not OTHER_SPACE.search(t) else [t] for t in texts]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        fresh = list(set(chain.from_iterable(pieces)) - self.known.keys())
+        """The ids of each text, as native 32-bit integers."""
+        pieces = [PIECE.findall(t) if self.in_pieces and not any(c in t for c in OTHER_SPACE) else [t] for t in texts]
+        wanted = set(chain.from_iterable(pieces)) - self.known.keys()
+        again = wanted & self.older.keys()
+        fresh = list(wanted - again)
+        self.known.update({p: self.older[p] for p in again})
         self.known.update(zip(fresh, self._library(fresh), strict=True))
-        out = [b"".join([self.known[p] for p in t]) for t in pieces]
+        known = self.known
+        out = [b"".join([known[p] for p in t]) for t in pieces]
         for p in fresh:
             if len(p) > 64:
-                del self.known[p]
+                del known[p]
+        if len(known) > KNOWN:
+            self.older, self.known = known, {}
         return out
 
 
@@ -93,14 +102,14 @@ _encoder = cache(Encoder)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(ids of documents, their token ids without the end) of (doc_id, text) batches, some documents at a time."""
+    """(names of documents, their token ids without the end) of (doc_id, text) batches, some documents at a time."""
     encode = _encoder(path)
     for batch in batches:
         names, texts, first, held = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0, 0
         for i, t in enumerate(texts):
             held += len(t)
             if held >= CALL_CHARS or i + 1 == len(texts):
-                yield names[first : i + 1], [np.frombuffer(b, "<u4") for b in encode(texts[first : i + 1])]
+                yield names[first : i + 1], [np.frombuffer(b, np.uint32) for b in encode(texts[first : i + 1])]
                 first, held = i + 1, 0
 
 
@@ -266,76 +275,105 @@ def default_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
-def frequencies(docs: DataFrame, model_path: str | None = None, end: int = END) -> Table:
-    """The table of all documents; what is collected has one row an id of the vocabulary."""
+def _rows(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    schema = pa.schema([(f.split()[0], KINDS[f.split()[1]]) for f in fields.split(", ")])
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def sections(scratch: Scratch, docs: DataFrame, model_path: str | None = None, end: int = END) -> DataFrame:
+    """The ids of docs in the order of doc_id, as stored sections (part, section, names, sizes, ids): ids are little-endian
+    integers of 16 bits, of 32 where wide; parts are ranges in their order."""
     path = model_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(end + 1, np.int64)
-        for _, texts in encoded(batches, path):
-            more = np.bincount(np.concatenate(texts), minlength=len(counts))
-            more[: len(counts)] += counts
-            more[end] += len(texts)
-            counts = more
+        part, number, names, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def row() -> tuple:
+            ids = np.concatenate(texts)
+            wide = bool(ids.max() > 0xFFFF)
+            return part, number, names, [len(t) for t in texts], ids.astype("<u4" if wide else "<u2").tobytes(), wide
+
+        for some, ids in encoded(batches, path):
+            for doc, inner in zip(some, ids, strict=True):
+                names.append(doc)
+                texts.append(np.append(inner, np.uint32(end)))
+                held += len(texts[-1])
+                if held >= SECTION:
+                    yield _rows([row()], PLAIN)
+                    number, names, texts, held = number + 1, [], [], 0
+        if names:
+            yield _rows([row()], PLAIN)
+
+    keys = ("doc_id", "__of", "__row")
+    numbered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("__of"), F.monotonically_increasing_id().alias("__row"))
+    ordered = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    return scratch.save(ordered.mapInArrow(run, PLAIN))
+
+
+def _ids(blob: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(blob, "<u4" if wide else "<u2").astype(np.uint32, copy=False)
+
+
+def frequencies(plain: DataFrame) -> Table:
+    """The table of all ids of stored sections; what is collected has one row an id of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1, np.int64)
+        for batch in batches:
+            for blob, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = np.bincount(_ids(blob, wide), minlength=len(counts))
+                more[: len(counts)] += counts
+                counts = more
         seen = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["token", "n"])
 
-    rows = docs.select(F.lit(0), F.col("text").cast("string")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max([r.token for r in rows], default=end) + 1, np.int64)
+    rows = plain.select("ids", "wide").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max([r.token for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r.token] = r.n
     return Table(counts)
 
 
-def write(scratch: Scratch, docs: DataFrame, model: Table, model_path: str | None = None, end: int = END) -> DataFrame:
-    """Writes the ids of docs into the shared folder; gives the sections with start, the number of ids before each."""
-    path, folder = model_path or default_path(), f"{scratch.base}/tokens-{uuid.uuid4().hex}"
+def write(scratch: Scratch, plain: DataFrame, model: Table) -> DataFrame:
+    """Codes stored sections into files of the shared folder; gives their places, with start, the number of ids before each."""
+    folder = f"{scratch.base}/tokens-{uuid.uuid4().hex}"
     files, place = store(folder)
     files.create_dir(place, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tokens"
-        out, at, before, rows, names, texts, held = None, 0, 0, [], [], [], 0
-        files, place = store(name)
+        out, name, at, last, rows = None, "", 0, None, []
         try:
-            for some, ids in encoded(batches, path):
-                for doc, inner in zip(some, ids, strict=True):
-                    names.append(doc)
-                    texts.append(np.append(inner, np.uint32(end)))
-                    held += len(texts[-1])
-                    if held >= SECTION:
-                        out = out or files.open_output_stream(place)
-                        at, before = _section(out, at, before, rows, part, name, names, texts, model)
-                        names, texts, held = [], [], 0
-            if names:
-                out = out or files.open_output_stream(place)
-                _section(out, at, before, rows, part, name, names, texts, model)
+            for batch in batches:
+                for part, number, names, sizes, blob, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if last != (part, number - 1):  # sections of a file follow each other
+                        if out:
+                            out.close()
+                        name = f"{folder}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.tokens"
+                        out, at = _opened(name, model)
+                    ids = _ids(blob, wide)
+                    coded = packed(ids, names, np.array(sizes, np.int64), model)
+                    out.write(coded)
+                    rows.append((part, number, name, at, len(coded), len(names), len(ids)))
+                    at, last = at + len(coded), (part, number)
         finally:
             if out:
                 out.close()
-        columns = zip(*rows, strict=True) if rows else [[]] * len(SECTION_SCHEMA)
-        yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, SECTION_SCHEMA, strict=True)], schema=SECTION_SCHEMA)
+        yield _rows(rows, PLACED)
 
-    keys = ("doc_id", "__of", "__row")
-    numbered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("__of"), F.monotonically_increasing_id().alias("__row"))
-    ordered = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    sections = scratch.save(ordered.mapInArrow(run, SECTION_FIELDS))
-    files = sections.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    before = F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    return scratch.save(sections.join(files, "part").withColumn("start", F.col("start") + F.col("before")))
+    placed = scratch.save(plain.select(*[f.split()[0] for f in PLAIN.split(", ")]).mapInArrow(run, PLACED))
+    parts = placed.groupBy("part").agg(F.sum("n_tokens").alias("all"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before("all", Window.orderBy("part")).alias("earlier"))
+    own = placed.withColumn("own", before("n_tokens", Window.partitionBy("part").orderBy("section")))
+    return scratch.save(own.join(parts, "part").withColumn("start", F.col("earlier") + F.col("own")).drop("earlier", "own"))
 
 
-def _section(out, at: int, before: int, rows: list, part: int, name: str, names: list, texts: list[np.ndarray], model: Table) -> tuple[int, int]:
-    """Writes a section, behind the header if it is the first one; gives the next place and the ids so far."""
-    if not at:
-        at = out.write(HEADER.pack(MAGIC, SCALE, LANES, STEPS, BLOCK, model.crc, 0))
-    ids, sizes = np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
-    blob = packed(ids, names, sizes, model)
-    out.write(blob)
-    rows.append((part, len(rows), name, at, len(blob), len(names), len(ids), before))
-    return at + len(blob), before + len(ids)
+def _opened(name: str, model: Table):
+    """A new file with its header, and the place behind it."""
+    files, place = store(name)
+    out = files.open_output_stream(place)
+    return out, out.write(HEADER.pack(MAGIC, SCALE, LANES, STEPS, BLOCK, model.crc, 0))
 
 
 def _bytes_of(name: str, at: int, size: int, model: Table) -> bytes:
@@ -348,8 +386,8 @@ def _bytes_of(name: str, at: int, size: int, model: Table) -> bytes:
         return f.read(size)
 
 
-def _read(sections: DataFrame, model: Table, row, fields: str, kinds: list) -> DataFrame:
-    """row(start, ids) of every document of the sections, behind its doc_id."""
+def _read(placed: DataFrame, model: Table, row, fields: str, kinds: list) -> DataFrame:
+    """row(start, ids) of every document of the placed sections, behind its doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,8 +402,8 @@ def _read(sections: DataFrame, model: Table, row, fields: str, kinds: list) -> D
                 if out:
                     yield _batch(out, fields, kinds)
 
-    tasks = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sections.select("file", "at", "bytes", "start").repartition(tasks, "file", "at")
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select("file", "at", "bytes", "start").repartition(tasks, "file", "at")
     return dealt.mapInArrow(run, f"doc_id long, {fields}")
 
 
@@ -374,17 +412,18 @@ def _batch(rows: list[tuple], fields: str, kinds: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), *kinds), strict=True)], names=names)
 
 
-def read(sections: DataFrame, model: Table) -> DataFrame:
+def read(placed: DataFrame, model: Table) -> DataFrame:
     """(doc_id, start, ids) of the documents of the sections, from their files."""
-    return _read(sections, model, lambda start, ids: (start, ids.astype(np.int64)), "start long, ids array<bigint>", [pa.int64(), pa.list_(pa.int64())])
+    return _read(placed, model, lambda start, ids: (start, ids.astype(np.int64)), "start long, ids array<bigint>", [pa.int64(), pa.list_(pa.int64())])
 
 
-def digests(sections: DataFrame, model: Table) -> DataFrame:
+def digests(placed: DataFrame, model: Table) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): what read() gives, as digests made where the files are read."""
-    return _read(sections, model, lambda start, ids: (start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), "start long, n_tokens long, ids_crc32 long", [pa.int64()] * 3)
+    return _read(placed, model, lambda start, ids: (start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), "start long, n_tokens long, ids_crc32 long", [pa.int64()] * 3)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "tokens")
-    model = frequencies(docs)
-    return digests(write(scratch, docs, model), model)
+    scratch = Scratch(spark, "tokens")
+    plain = sections(scratch, table(spark, sf_dir, "documents"))
+    model = frequencies(plain)
+    return digests(write(scratch, plain, model), model)
