@@ -49,6 +49,16 @@ SQL = {
         CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence, o_orderpriority AS tag, o_orderstatus AS market, CASE o_orderkey % 4 WHEN 0 THEN 'ga' WHEN 1 THEN 'beta' WHEN 2 THEN 'alpha' ELSE CASE WHEN o_orderkey % 360 = 3 THEN 'discontinued' ELSE 'ga' END END AS stage, 'WEIGHT: ' || (o_orderkey % 9) || ' kg' AS bullet, o_orderdate AS seen_at FROM orders""",
     "old_products": "SELECT * FROM (SELECT p_name || ' ' || p_brand AS name, p_type AS category, p_retailprice AS price, p_partkey AS id FROM part) q WHERE id % 3 <> 0",
     "new_products": "SELECT * FROM (SELECT p_name || ' ' || p_brand AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS category, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price, p_partkey AS id FROM part) q WHERE id % 4 <> 0",
+    "stored_items": "SELECT 'ent' || p_partkey AS id, 'Item ' || p_partkey AS name, p_type AS category, p_retailprice AS price FROM part WHERE p_partkey % 3 = 0",
+    "incoming_items": """SELECT CAST(p_partkey AS BIGINT) AS n, CASE WHEN p_partkey % 2 = 0 THEN 'ITEM ' ELSE ' item  ' END || CAST(floor(p_partkey / 2) AS INT) AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS category, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS price,
+        'https://x.com/' || (p_partkey % 2) AS url, 'h' || (p_partkey % 2) AS content_hash, 'product' AS page_type, CASE WHEN p_partkey % 3 = 0 THEN 'ai' ELSE 'rules' END AS method, CAST(p_partkey % 10 AS DOUBLE) / 10 AS confidence FROM part""",
+    "found_companies": "SELECT CAST(s_suppkey AS BIGINT) AS n, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'New ' || (s_suppkey % 6) END AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'https://n' || s_suppkey || '.com' END AS website, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'dormant' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'About ' || s_suppkey END AS short_desc FROM supplier",
+    "found_products": "SELECT CAST(p_partkey AS BIGINT) AS n, s_name AS company, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'Thing ' || (p_partkey % 50) END AS name, p_type AS category, CASE p_partkey % 4 WHEN 0 THEN 'beta test' WHEN 1 THEN 'GA' WHEN 2 THEN NULL ELSE 'EOL' END AS stage, p_brand AS short_desc FROM part JOIN supplier ON s_suppkey = p_partkey % 10",
+    "found_capabilities": "SELECT CAST(p_partkey AS BIGINT) AS n, s_name AS company, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'Thing ' || (p_partkey % 50) END AS product, CASE WHEN p_size % 3 = 0 THEN p_type ELSE 'Skill ' || (p_size % 7) END AS name, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Expert level' ELSE 'reported' END AS maturity FROM part JOIN supplier ON s_suppkey = p_partkey % 10",
+    "consolidated": """SELECT p_partkey AS id, '{"products": {"' || p_name || '": {"category": ' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"' || p_type || '"' END || ', "stage": "' || CASE p_partkey % 3 WHEN 0 THEN 'GAMMA' WHEN 1 THEN 'Beta' ELSE 'alpha' END || '", "specs": {"weight": ' || p_size || ', "height": null}, "tags": ["' || p_brand || '"], "capabilities": [{"name": "a' || (p_partkey % 4) || '", "tags": null}, "junk", {"definition": "d"}]},
+        "second ' || p_partkey || '": {"name": "Named ' || p_size || '", "capabilities": null, "short_desc": ""}}}' AS content FROM part""",
+    "page_outcomes": "SELECT CAST(doc_id % 5 AS INT) AS session_id, CASE WHEN doc_id % 7 < 4 THEN 'processed' WHEN doc_id % 7 < 6 THEN 'skipped' ELSE 'failed' END AS outcome, doc_id % 4 = 0 AS cache_hit, CAST(doc_id % 3 AS INT) AS retries FROM documents",
+    "found_entities": "SELECT CAST(o_orderkey % 4 AS INT) AS session_id, CASE o_orderkey % 5 WHEN 0 THEN 'company' WHEN 1 THEN 'product' WHEN 2 THEN 'product' WHEN 3 THEN 'release' ELSE 'signal' END AS entity_type, 'e' || (o_orderkey % 60) AS entity_id FROM orders",
     "progress": "SELECT user_id AS session_id, ts, CASE event_type WHEN 'signup' THEN 'session_started' WHEN 'view' THEN 'page_processed' WHEN 'click' THEN 'page_succeeded' WHEN 'error' THEN 'page_failed' ELSE 'page_skipped' END AS kind, value, event_id FROM events",
     "cache": "SELECT o_orderkey AS n, 'k' || (o_orderkey % 700) AS cache_key, 'r' || o_orderkey AS response, TIMESTAMP '2024-01-01 00:00:00' + MINUTES(o_orderkey * 10) AS expires_at FROM orders WHERE o_orderkey % 2 = 0",
     "requests": "SELECT o_orderkey AS request_id, 'k' || (o_orderkey % 900) AS cache_key, o_orderpriority AS prompt, o_orderstatus AS page_type FROM orders",

@@ -96,6 +96,12 @@ def field_changes(old: Column, new: Column) -> Column:
     return F.transform(changed, lambda k: F.struct(k.alias("field"), F.element_at(old, k).alias("old"), F.element_at(new, k).alias("new"), kind(k).alias("type")))
 
 
+def field_sets(old: Column, new: Column) -> Column:
+    """(added, removed, modified): the names of fields that only one of two payloads has, and of those that differ."""
+    names = lambda kind: F.transform(F.filter(field_changes(old, new), lambda c: c["type"] == kind), lambda c: c["field"])
+    return F.struct(*[names(k).alias(k) for k in ("added", "removed", "modified")])
+
+
 def history_changes(versions):
     """Changes between successive states of each entity; the first state and equal states give none."""
     order = Window.partitionBy("entity_type", "entity_id").orderBy("created_at", "n")
@@ -190,6 +196,36 @@ def import_entities(existing, incoming, key: list[str], update: list[str] | None
     return existing.unionByName(fresh)
 
 
+def product_profiles(facts, most: int = 20):
+    """consolidate_products() with lists and a map: markets, five tags, stage, sources and the specifications by label.
+
+    A label that pages give different values for keeps the one of the first page by URL.
+    """
+    ranks = F.create_map(*[F.lit(x) for pair in STAGE_RANK.items() for x in pair])
+    label, value = F.trim(F.split_part("bullet", F.lit(":"), F.lit(1))), F.trim(F.regexp_extract("bullet", "(?s)^[^:]*:(.*)$", 1))
+    rows = facts.withColumns({"__label": F.when(F.contains("bullet", F.lit(":")) & (label != ""), label), "__value": value})
+    specs = rows.where("__label is not null").groupBy("company_id", "name", "__label").agg(F.min_by("__value", F.struct("url", "__value")).alias("value"))
+    specs = specs.groupBy("company_id", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__label", "value")))).alias("specs"))
+    rest = rows.groupBy("company_id", "name").agg(F.array_sort(F.collect_set("market")).alias("markets"), F.slice(F.array_sort(F.collect_set(F.lower("tag"))), 1, 5).alias("tags"), F.min_by("stage", F.element_at(ranks, F.col("stage"))).alias("stage"), F.array_sort(F.collect_set("url")).alias("sources"))
+    out = rest.join(specs, ["company_id", "name"], "left").withColumn("specs", F.coalesce("specs", F.create_map().cast("map<string,string>")))
+    return out.withColumn("rn", F.row_number().over(Window.partitionBy("company_id").orderBy("name"))).where(F.col("rn") <= most).drop("rn")
+
+
+#: Kinds of page that a company's name is taken from, in order.
+NAMING = ("about", "home", "product", "docs")
+
+
+def company_profile(facts):
+    """Per company its name, from the best kind of page, other spellings as aliases, shortest website, three tags, six sources."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, NAMING)), F.lower("page_type")), F.lit(0))
+    rank = F.when(place > 0, place).otherwise(len(NAMING) + 1)
+    out = facts.groupBy("company_id").agg(
+        F.min(F.struct(rank, "url", "name"))["name"].alias("name"), F.array_sort(F.collect_set("name")).alias("names"), F.min(F.struct(F.length("url"), "url"))["url"].alias("website"),
+        F.slice(F.array_sort(F.collect_set(F.lower("tag"))), 1, 3).alias("tags"), F.slice(F.array_sort(F.collect_set("url")), 1, 6).alias("sources"),
+    )
+    return out.select("company_id", "name", F.array_remove("names", F.col("name")).alias("aliases"), "website", "tags", "sources")
+
+
 def consolidate_products(facts, most: int = 20):
     """One row for each product of a company: union of markets, five tags, the most conservative stage, all sources."""
     ranks = F.create_map(*[F.lit(x) for pair in STAGE_RANK.items() for x in pair])

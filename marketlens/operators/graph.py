@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import urls
+from marketlens.storage import new_folder
 
 
 def reach(seeds: DataFrame, links: DataFrame, max_depth: int = 2, max_pages: int | None = None) -> DataFrame:
     """(url, depth): each page at its least depth, from seeds (url) over links (from_url, to_url), skipped URLs left out.
 
-    Each different target is tested once and the open links are written once. One join and one anti join for each level;
-    every level is written to the shared folder, so that a lost executor
-    costs no recomputation of earlier levels. max_pages keeps the first by depth, priority and URL.
+    URLs are made canonical first, so each page counts once whatever its spelling. The links are written once; there is
+    one join and one anti join for each level, and only pages that a level reaches for the first time are tested. Every
+    level is written to the shared folder, so that a lost executor costs no recomputation of earlier levels. max_pages
+    keeps the first by depth, priority and URL.
     """
     spark = seeds.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/reach-{uuid.uuid4().hex}"
+    base = new_folder(spark, "reach")
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    targets = links.select("to_url").distinct()
-    targets = saved(targets.where(urls.skip_reason(F.col("to_url")).isNull()), "targets")
-    open_links = saved(links.select("from_url", "to_url").distinct().join(targets, "to_url"), "links")
-    seen = saved(seeds.where(urls.skip_reason(F.col("url")).isNull()).select("url", F.lit(0).alias("depth")).distinct(), "0")
+    plain = links.select(urls.canonical_url(F.col("from_url")).alias("from_page"), urls.canonical_url(F.col("to_url")).alias("url"), "to_url")
+    plain = saved(plain.where("from_page <> url").distinct(), "links")
+    kept = lambda df, written: df.where(urls.skip_reason(F.col(written)).isNull()).select("url").distinct()
+    first = seeds.select(urls.canonical_url(F.col("url")).alias("page"), "url")
+    seen = saved(kept(first.select(F.col("page").alias("url"), F.col("url").alias("written")), "written").withColumn("depth", F.lit(0)), "0")
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = frontier.join(open_links, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url")).distinct()
-        frontier = saved(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), str(depth))
+        step = plain.join(frontier.select(F.col("url").alias("from_page")), "from_page").select("url", "to_url").distinct()
+        frontier = saved(kept(step.join(seen.select("url"), "url", "left_anti"), "to_url").withColumn("depth", F.lit(depth)), str(depth))
         seen = seen.unionByName(frontier)
     if max_pages is not None:
         seen = seen.orderBy("depth", urls.priority(F.col("url"), urls.LINK_FIRST), "url").limit(max_pages)

@@ -103,3 +103,26 @@ def flatten_specs(df, id_col: str = "id", specs: str = "specs"):
     rows = df.select(F.col(id_col), entries)
     of = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
     return rows.select(id_col, "path", of("type", "string").alias("type"), F.coalesce(of("value", "string"), of("url", "string")).alias("value_text"), of("value", "double").alias("value_num"), of("min", "double").alias("value_min"), of("max", "double").alias("value_max"), of("unit", "string").alias("unit"))
+
+
+def product_tables(df):
+    """(products, capabilities) of consolidated responses (id, parsed) whose products are an object by name.
+
+    products (id, name, category, stage, markets, tags, compliance, specs, short_desc, product_url, docs_url, released_at,
+    confidence) has defaults where a response has nothing; capabilities (id, product, pos, name, definition, tags,
+    category) has one row for each object in a product's list; whatever else stands in the list is left out.
+    """
+    held = df.select("id", F.try_variant_get(coerce_object(F.col("parsed")), "$.products", "variant").alias("products"))
+    each = held.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("products").outer())).where("key is not null").select("id", "key", "value")
+    of = lambda v, name, kind="string": F.try_variant_get(v, f"$.{name}", kind)
+    some = lambda name: F.nullif(of("value", name), F.lit(""))
+    listed = lambda v, name: F.coalesce(of(v, name, "array<string>"), F.array().cast("array<string>"))
+    name = F.coalesce(of("value", "name"), F.col("key"))
+    specs = F.coalesce(text.specs_as_text(of("value", "specs", "map<string,string>")), F.create_map().cast("map<string,struct<type:string,value:string>>"))
+    products = each.select(
+        "id", name.alias("name"), F.coalesce(some("category"), F.lit("unknown")).alias("category"), text.strict_stage(of("value", "stage")).alias("stage"), *[listed("value", c).alias(c) for c in ("markets", "tags", "compliance")],
+        specs.alias("specs"), *[some(c).alias(c) for c in ("short_desc", "product_url", "docs_url", "released_at")], F.lit(0.90).alias("confidence"),
+    )
+    rows = each.select("id", name.alias("product"), F.posexplode(of("value", "capabilities", "array<variant>")).alias("pos", "c")).where(F.schema_of_variant("c").startswith("OBJECT"))
+    capabilities = rows.select("id", "product", "pos", F.coalesce(of("c", "name"), F.lit("")).alias("name"), F.nullif(of("c", "definition"), F.lit("")).alias("definition"), listed("c", "tags").alias("tags"), F.lit("general").alias("category"))
+    return products, capabilities

@@ -48,6 +48,33 @@ def session_stats(sources, by="market"):
     return sources.groupBy(by).agg(F.count("*").alias("processed"), F.count_if(F.col("confidence") == 0).alias("failed"), F.count_if(F.col("method") == "rules").alias("cache_hits"), F.count_distinct("name").alias("entities"), F.count_distinct("company_id").alias("companies"))
 
 
+ENTITY_TYPES = ("company", "product", "capability", "release", "document", "signal")
+PAGE_OUTCOMES = ("processed", "skipped", "failed")
+
+
+def run_counters(runs, outcomes, found, changes):
+    """Counters of every extraction run (id): its pages by outcome, cache hits and retries, entities by type, changes.
+
+    outcomes (session_id, outcome, cache_hit, retries) has a row for each page, found (session_id, entity_type, entity_id)
+    one for each fact, changes (session_id) one for each change. Every table is aggregated by run before it is joined.
+    """
+    per_page = outcomes.groupBy("session_id").agg(*[F.count_if(F.col("outcome") == o).alias(f"{o}_pages") for o in PAGE_OUTCOMES], F.count_if("cache_hit").alias("cache_hits"), F.sum("retries").cast("long").alias("total_retries"))
+    per_type = found.select("session_id", "entity_type", "entity_id").distinct().groupBy("session_id").pivot("entity_type", list(ENTITY_TYPES)).count()
+    per_type = per_type.withColumnsRenamed({t: f"{t}_found" for t in ENTITY_TYPES})
+    per_change = changes.groupBy("session_id").agg(F.count("*").alias("changes_detected"))
+    out = runs.select(F.col("id").alias("session_id"))
+    for part in (per_page, per_type, per_change):
+        out = out.join(part, "session_id", "left")
+    return out.na.fill(0)
+
+
+def scoring_details(pages):
+    """One row a page with what became of its scoring by the model: successful, failed or skipped, and why."""
+    tried = F.contains("reason", F.lit("attempted"))
+    outcome = F.when(tried & F.col("ai_success"), "successful").when(tried, "failed").otherwise("skipped")
+    return pages.select("session_id", "id", "url", outcome.alias("outcome"), F.coalesce("reason", F.lit("unknown")).alias("reason"), "ai_score", "rules_score", "score", "scoring_method")
+
+
 def progress_metrics(df, done="done", total="total", elapsed="elapsed"):
     """pages_per_minute and eta_seconds of runs; nothing remains means 0."""
     rate = F.col(done) / F.greatest(F.col(elapsed), F.lit(1)) * 60
@@ -124,8 +151,26 @@ def filter_funnel(pages, threshold: float = 0.5, per_domain: int = 100, per_cate
     return out.na.fill(0)
 
 
+def profile_sketches(df, columns: list[str], bits: int = 12):
+    """(column_name, n, valid, sketch) in one pass without more rows: counts and a mergeable sketch of the different values.
+
+    Sketches can be stored and united: merge_profiles() of the profiles of parts is the profile of the whole table.
+    """
+    one = lambda c: F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n"), F.count(c).alias("valid"), F.hll_sketch_agg(F.col(c).cast("string"), bits).alias("sketch"))
+    return df.agg(F.array(*[one(c) for c in columns]).alias("p")).select(F.inline("p"))
+
+
+def merge_profiles(profiles):
+    return profiles.groupBy("column_name").agg(F.sum("n").alias("n"), F.sum("valid").alias("valid"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def profile_estimates(profiles):
+    """(column_name, n, valid, nulls, different): different is an estimate, within some 2 % for sketches of 12 bits."""
+    return profiles.select("column_name", "n", "valid", (F.col("n") - F.col("valid")).alias("nulls"), F.hll_sketch_estimate("sketch").alias("different"))
+
+
 def column_profile(df: DataFrame, columns: list[str]):
-    """Nulls, values and approximate distinct values of each column, in one pass."""
+    """Nulls, values and exact distinct values of each column, in one pass."""
     stats = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n"), F.count(c).alias("valid"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("different")) for c in columns])
     return df.agg(stats.alias("s")).select(F.inline("s"))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens import fixtures
 from marketlens.fixtures import AS_OF, Tables
 from marketlens.functions import text, urls
-from marketlens.operators import catalog, checks, entities, graph, pages, responses, stats
+from marketlens.operators import catalog, checks, entities, graph, pages, patterns, responses, stats, upserts
 from marketlens.sources import files
-from marketlens.streaming import progress
+from marketlens.storage import Published, new_folder
+from marketlens.streaming import changes, progress
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -425,8 +426,23 @@ add("l8_coerce_object", lambda t: parsed(t).select("id", F.try_variant_get(respo
 
 # --- K: constraints ---------------------------------------------------------------------------------------------
 
-add("k1_check_products", lambda t: checks.check(t.products, "product"), "SELECT 'product' AS entity, id, 'stage' AS path, 'not in enum' AS message FROM products WHERE stage IS NOT NULL AND stage NOT IN ('alpha', 'beta', 'ga', 'discontinued', 'deprecated')")
-add("k1_check_companies", lambda t: checks.check(t.companies, "company"), "SELECT 'company' AS entity, id, 'website' AS path, 'not a URL' AS message FROM companies WHERE website IS NOT NULL AND NOT regexp_matches(website, '^https?://')")
+add("k1_check_products", lambda t: checks.check(t.products.withColumn("markets", F.array(F.lit("EU"), F.when(F.col("size") % 2 == 0, "US"))), "product"),
+    """SELECT 'product' AS entity, id, 'stage' AS path, 'not in enum' AS message FROM products WHERE stage NOT IN ('alpha', 'beta', 'ga', 'discontinued', 'deprecated') UNION ALL SELECT 'product', id, 'stage', 'required' FROM products WHERE stage IS NULL
+    UNION ALL SELECT 'product', id, 'markets[1]', 'expected string' FROM products WHERE size % 2 <> 0""")
+add("k1_check_companies", lambda t: checks.check(t.companies, "company"),
+    "SELECT 'company' AS entity, id, 'website' AS path, 'not a URL' AS message FROM companies WHERE website NOT LIKE 'https://%' UNION ALL SELECT 'company', id, 'status', 'not in enum' FROM companies WHERE status NOT IN ('active', 'dormant')")
+add("k1_check_signals", lambda t: checks.check(t.signals.withColumns({"published_at": F.when(F.col("n") % 3 == 0, F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("n") % 3 == 1, F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")), "url": F.when(F.col("n") % 2 == 0, "https://x.com/a").otherwise("x.com/a")}), "signal"),
+    """SELECT 'signal' AS entity, id, 'type' AS path, 'not in enum' AS message FROM signals WHERE type NOT IN ('news', 'job', 'paper', 'funding', 'release', 'social') UNION ALL SELECT 'signal', id, 'published_at', 'not a date-time' FROM signals WHERE n % 3 = 1
+    UNION ALL SELECT 'signal', id, 'published_at', 'required' FROM signals WHERE n % 3 = 2 UNION ALL SELECT 'signal', id, 'url', 'not a URL' FROM signals WHERE n % 2 = 1""")
+add("k1_check_links", lambda t: checks.check(t.product_capabilities.withColumn("method", F.when(F.length("id") % 2 == 0, "guessed")), "product_capability"),
+    """SELECT 'product_capability' AS entity, id, 'maturity' AS path, 'not in enum' AS message FROM product_capabilities WHERE maturity NOT IN ('basic', 'intermediate', 'advanced', 'expert', 'ga') UNION ALL SELECT 'product_capability', id, 'maturity', 'required' FROM product_capabilities WHERE maturity IS NULL
+    UNION ALL SELECT 'product_capability', id, 'method', 'not in enum' FROM product_capabilities WHERE length(id) % 2 = 0""")
+add("k1_check_sources", lambda t: checks.check(t.sources.withColumn("credibility", F.when(F.col("credibility") == "low", "poor").otherwise(F.col("credibility"))), "source"), "SELECT 'source' AS entity, id, 'credibility' AS path, 'not in enum' AS message FROM sources WHERE credibility = 'low'")
+add("k1_check_capabilities", lambda t: checks.check(t.capabilities.withColumn("tags", F.array("tag")), "capability"), "SELECT 'capability' AS entity, id, 'tags[0]' AS path, 'expected string' AS message FROM capabilities WHERE tag IS NULL")
+add("k1_check_summaries", lambda t: checks.check(t.company_summaries, "company_summary", key="company_id"), "SELECT 'company_summary' AS entity, company_id AS id, 'sources' AS path, 'required' AS message FROM company_summaries")
+specced = lambda t: t.products.withColumns({"stage": F.lit("ga"), "markets": F.array(F.lit("EU")), "specs": F.create_map(F.lit("size"), F.struct(F.when(F.col("size") % 3 == 0, "number").when(F.col("size") % 3 == 1, "url").otherwise("weight").alias("type"), F.when(F.col("size") % 2 == 0, F.col("size").cast("string")).otherwise("large").alias("value")))})
+add("k1_check_specs", lambda t: checks.check(specced(t), "product"),
+    """SELECT 'product' AS entity, id, 'specs.size.value' AS path, 'expected number' AS message FROM products WHERE size % 3 = 0 AND size % 2 <> 0 UNION ALL SELECT 'product', id, 'specs.size.value', 'not a URL' FROM products WHERE size % 3 = 1 UNION ALL SELECT 'product', id, 'specs.size.type', 'not in enum' FROM products WHERE size % 3 = 2""")
 add("k2_check_pages", lambda t: checks.check(t.crawled.withColumn("score", F.col("score") * 1.1), "page"), "SELECT 'page' AS entity, id, 'score' AS path, 'out of range' AS message FROM crawled WHERE score * 1.1::DOUBLE > 1")
 add("k3_check_unique", lambda t: checks.check_unique(t.old_products, ["name", "category"]), "SELECT name, category, count(*) AS n FROM old_products GROUP BY 1, 2 HAVING count(*) > 1")
 
@@ -451,3 +467,188 @@ add("t5_changes", lambda t: entities.detect_changes(entities.latest_snapshots(st
     f"""WITH a AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, n DESC) = 1), b AS (SELECT * FROM versions WHERE created_at < TIMESTAMP '1998-01-01' QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, n DESC) = 1),
     d AS (SELECT a.entity_id, {' + '.join(f'(a.{f} IS DISTINCT FROM b.{f})::INT' for f in FIELDS)} AS fields FROM a JOIN b ON a.entity_id = b.entity_id) SELECT * FROM d WHERE fields > 0""")
 add("t6_alerts", lambda t: progress.alerts_stream(t.signals, "cmp_1").select("id", "impact"), "SELECT id, impact FROM signals WHERE abs(CAST(impact AS INT)) >= 2 AND NOT list_contains(company_ids, 'cmp_1')")
+
+
+def streamed_changes(t: Tables) -> DataFrame:
+    """The stream over the given orders, run to its end; its changes are read from the files that it wrote."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, folder = t.spark.conf.get(provider), new_folder(t.spark, "changes")
+    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        orders = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.sf_dir)
+        versions = t.spark.sql(fixtures.SQL["versions"].replace("FROM orders", "FROM {orders}"), orders=orders)
+        stream = versions.withColumn("data", entities.payload(list(FIELDS))).select("entity_type", "entity_id", "n", "created_at", "data")
+        changes.write_changes(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        t.spark.conf.set(provider, before)
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+add("t5_change_stream", lambda t: streamed_changes(t).select("entity_id", "previous_n", "n", "change_hash", "summary", F.size("changes").alias("fields")),
+    f"""{LAGGED} SELECT entity_id, p_n AS previous_n, n, sha256('Order:' || entity_id || ':' || p_n || ':' || n) AS change_hash, left(name || ': ' || array_to_string({PARTS_OF}, ', '), 200) AS summary,
+    {' + '.join(f'(p_{f} IS DISTINCT FROM {f})::INT' for f in FIELDS)} AS fields FROM l WHERE p_n IS NOT NULL AND len({PARTS_OF}) > 0""")
+PAGED = ("page_processed", "page_succeeded", "page_failed")
+filed = lambda t: t.progress.withColumns({"type": F.col("kind"), "page": F.when(F.col("kind").isin(*PAGED), F.col("event_id").cast("string")), "reason": F.when(F.col("kind") == "page_failed", F.concat(F.lit("r"), F.col("event_id") % 9))}).withColumn("payload", entities.payload(["type", "page", "reason"]))
+add("t1_merged_state", lambda t: progress.merged_state(filed(t)).select("session_id", *[F.col("state")[f].alias(f) for f in ("type", "page", "reason")], F.coalesce(F.col("kinds")["page_failed"], F.lit(0)).alias("page_failed"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "events"),
+    """SELECT session_id, arg_max(kind, {'t': ts, 'e': event_id}) AS type, arg_max(event_id || '', {'t': ts, 'e': event_id}) FILTER (kind IN ('page_processed', 'page_succeeded', 'page_failed')) AS page,
+    arg_max('r' || (event_id % 9), {'t': ts, 'e': event_id}) FILTER (kind = 'page_failed') AS reason, count(*) FILTER (kind = 'page_failed') AS page_failed, max(ts) AS last_seen, count(*) AS events FROM progress GROUP BY 1""")
+sized = lambda t: t.progress.withColumns({"ts": F.col("ts").cast("timestamp"), "total": F.when(F.col("kind") == "session_started", 50 + F.col("event_id") % 100)})
+add("t2_live_metrics", lambda t: progress.live_metrics(sized(t), "1 day").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}),
+    """WITH w AS (SELECT session_id, date_trunc('day', ts)::TIMESTAMP AS s, count(*) FILTER (kind = 'page_processed') AS a, count(*) FILTER (kind = 'page_succeeded') AS b, count(*) FILTER (kind = 'page_failed') AS c, count(*) FILTER (kind = 'page_skipped') AS d, min(ts) AS f, max(50 + event_id % 100) FILTER (kind = 'session_started') AS t FROM progress GROUP BY ALL),
+    r AS (SELECT session_id, s AS window_start, s + INTERVAL 1 DAY AS window_end, sum(a) OVER v AS processed, sum(b) OVER v AS succeeded, sum(c) OVER v AS failed, sum(d) OVER v AS skipped, min(f) OVER v AS started, max(t) OVER v AS total FROM w WINDOW v AS (PARTITION BY session_id ORDER BY s)),
+    m AS (SELECT *, (processed + failed)::DOUBLE / greatest((epoch_us(window_end) - epoch_us(started)) / 1e6, 1) * 60 AS rate, coalesce(total, 0) - skipped - processed - failed AS rest FROM r)
+    SELECT session_id, window_start, window_end, processed, succeeded, failed, skipped, total, round(rate, 6) AS pages_per_minute, CASE WHEN rest > 0 THEN floor(rest / greatest(rate / 60, 0.1))::BIGINT ELSE 0 END AS eta_seconds FROM m""")
+
+# --- J: merges by natural key and imports, with all their outputs ------------------------------------------------
+
+
+def merged_items(t: Tables) -> dict[str, DataFrame]:
+    keyed = lambda df: df.withColumn("natural_key", entities.natural_key("capability", F.lit("acme"), name=F.col("name"), category=F.lit(None).cast("string")))
+    return upserts.upsert("item", keyed(t.stored_items), keyed(t.incoming_items), ["name", "category", "price"], 7, AS_OF)
+
+
+ITEM = ("name", "category", "price")
+KEYED = f"'acme:capability:' || {norm('name')}"
+STEPPED = f"""WITH s AS (SELECT {KEYED} AS natural_key, id AS own, 0 AS age, NULL::BIGINT AS n, name, category, price FROM stored_items UNION ALL SELECT {KEYED}, NULL, 1, n, name, category, price FROM incoming_items),
+    f AS (SELECT natural_key, age, n, coalesce(max(own) OVER k, 'ent_' || left(sha256('item:' || natural_key), 12)) AS id, min(age) OVER k = 0 AS known, {', '.join(f'last_value({c} IGNORE NULLS) OVER w AS {c}' for c in ITEM)}, row_number() OVER w AS step FROM s
+        WINDOW w AS (PARTITION BY natural_key ORDER BY age, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), k AS (PARTITION BY natural_key)),
+    l AS (SELECT *, {', '.join(f'lag({c}) OVER w AS p_{c}' for c in ITEM)}, coalesce(lag(n) OVER w, 0) AS previous_n, lead(step) OVER w IS NULL AS last FROM f WINDOW w AS (PARTITION BY natural_key ORDER BY age, n)),
+    m AS (SELECT *, {' + '.join(f'({c} IS DISTINCT FROM p_{c})::INT' for c in ITEM)} AS moved FROM l)"""
+add("j4_upsert_entities", lambda t: merged_items(t)["entities"],
+    f"""{STEPPED}, g AS (SELECT natural_key, max(age) AS came, count(*) FILTER (step > 1 AND moved > 0) AS moves FROM m GROUP BY 1)
+    SELECT id, natural_key, name, category, price, CASE WHEN came = 0 THEN 'kept' WHEN NOT known THEN 'created' WHEN moves > 0 THEN 'updated' ELSE 'unchanged' END AS status FROM m JOIN g USING (natural_key) WHERE last""")
+add("j4_upsert_snapshots", lambda t: merged_items(t)["snapshots"].select("entity_type", "entity_id", "n", F.col("data")["name"].alias("name"), F.col("data")["category"].alias("category"), "session_id"),
+    f"{STEPPED} SELECT 'item' AS entity_type, id AS entity_id, n, name, category, 7 AS session_id FROM (SELECT * FROM m WHERE age = 1 AND (step = 1 OR moved > 0) QUALIFY row_number() OVER (PARTITION BY id, name, category, price ORDER BY n) = 1) q")
+add("j4_upsert_changes", lambda t: merged_items(t)["changes"].select("entity_id", "previous_n", "n", F.array_join("fields_changed", ",").alias("fields"), "change_hash"),
+    f"""{STEPPED} SELECT id AS entity_id, previous_n, n, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} IS DISTINCT FROM p_{c} THEN '{c}' END" for c in sorted(ITEM))}], lambda x: x IS NOT NULL), ',') AS fields, sha256('item:' || id || ':' || previous_n || ':' || n) AS change_hash FROM m WHERE age = 1 AND step > 1 AND moved > 0""")
+add("j4_upsert_sources", lambda t: merged_items(t)["sources"].select("entity_id", "n", "url", "content_hash", "page_type", "method", "confidence", F.array_join(F.array_sort("fields_extracted"), ",").alias("fields")),
+    f"""{STEPPED} SELECT m.id AS entity_id, n, url, content_hash, page_type, method, confidence, array_to_string(list_filter([CASE WHEN i.category IS NOT NULL THEN 'category' END, 'name', CASE WHEN i.price IS NOT NULL THEN 'price' END], lambda x: x IS NOT NULL), ',') AS fields
+    FROM m JOIN incoming_items i USING (n) QUALIFY row_number() OVER (PARTITION BY m.id, url, content_hash ORDER BY n) = 1""")
+add("j4_upsert_log", lambda t: merged_items(t)["log"],
+    f"{STEPPED} SELECT 'item' AS entity_type, count(*) AS processed, count(*) FILTER (step = 1 AND NOT known) AS created, count(*) FILTER (step > 1 OR known) AS updated, count(*) FILTER (step > 1 AND moved > 0) AS changes, 7 AS session_id FROM m WHERE age = 1")
+add("c10_match_natural_key", lambda t: upserts.matched(t.incoming_items.withColumn("natural_key", F.regexp_replace(F.lower(F.trim("name")), r"\s+", " ")), t.stored_items.withColumn("natural_key", F.lower("name"))).select("n", "natural_key", "id"),
+    "SELECT n, regexp_replace(lower(trim(i.name)), '\\s+', ' ', 'g') AS natural_key, s.id FROM incoming_items i LEFT JOIN stored_items s ON regexp_replace(lower(trim(i.name)), '\\s+', ' ', 'g') = lower(s.name)")
+
+
+def families(t: Tables) -> DataFrame:
+    """Products joined to their companies by the ids that come out of one run."""
+    key = lambda df, kind, name="name": df.withColumn("natural_key", F.concat(F.lit(f"acme:{kind}:"), F.lower(name)))
+    firms = t.found_companies.select("n", "name", "website")
+    goods = key(t.found_products, "product").withColumn("company_id", F.concat(F.lit("acme:company:"), F.lower(F.when(F.col("n") % 4 == 0, F.concat(F.lit("New "), F.col("n") % 8)).otherwise(F.col("company")))))
+    known = key(t.products, "product").withColumn("company_id", F.lit("cmp_old"))
+    out = upserts.upsert_all({"product": (known, goods, ["name", "category", "company_id"]), "company": (key(t.companies, "company"), key(firms, "company"), ["name", "website"])}, {"product": {"company_id": "company"}}, 7, AS_OF)
+    child, parent = out["product"]["entities"], out["company"]["entities"]
+    return child.join(parent.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")), "company_id").select("natural_key", "company_id", "company_name")
+
+
+add("j5_children_by_ids", families,
+    """WITH c AS (SELECT 'acme:company:' || lower(name) AS k, min(id) AS id, NULL AS n, arg_min(name, id) AS name FROM companies GROUP BY 1), i AS (SELECT 'acme:company:' || lower(name) AS k, arg_max(name, n) AS name FROM found_companies GROUP BY 1),
+    p AS (SELECT k, coalesce(c.id, 'ent_' || left(sha256('company:' || k), 12)) AS company_id, coalesce(i.name, c.name) AS company_name FROM c FULL JOIN i USING (k)),
+    g AS (SELECT 'acme:product:' || lower(name) AS natural_key, n, 'acme:company:' || lower(CASE WHEN n % 4 = 0 THEN 'New ' || (n % 8) ELSE company END) AS k FROM found_products)
+    SELECT natural_key, company_id, company_name FROM (SELECT natural_key, arg_max(p.company_id, n) AS company_id, arg_max(p.company_name, n) AS company_name FROM g JOIN p ON g.k = p.k GROUP BY 1) q""")
+
+
+def imported(t: Tables) -> dict[str, DataFrame]:
+    none = F.array().cast("array<string>")
+    serving = {
+        "companies": t.companies.select("id", "name", "website", "hq_country", "status", "tags", "aliases"), "company_summaries": files.first_summaries(t.company_summaries).select("company_id", "one_liner", none.alias("sources")),
+        "products": t.products.select("id", "name", "company_id", "category", "stage", "short_desc", F.lit(None).cast("string").alias("product_url"), "tags", none.alias("markets")), "capabilities": t.capabilities.select("id", "name", "definition", F.array("tag").alias("tags")),
+        "product_capabilities": t.product_capabilities.select("id", "product_id", "capability_id", "maturity", F.lit("").alias("details"), F.lit("").alias("source_id"), F.lit(None).cast("string").alias("method")),
+    }
+    firms = t.found_companies.withColumns({"hq_country": F.lit(None).cast("string"), "tags": none, "aliases": none, "sources": none})
+    goods = t.found_products.withColumns({"product_url": F.lit(None).cast("string"), "tags": none, "markets": none})
+    skills = t.found_capabilities.withColumns({c: F.lit(None).cast("string") for c in ("definition", "details", "source_id", "method")}).withColumn("tags", none)
+    return upserts.import_serving(serving, firms, goods, skills)
+
+
+FIRMS = """fl AS (SELECT name, arg_max({'w': website}, n).w AS website, arg_max({'s': coalesce(status, 'active')}, n).s AS status, arg_max({'d': coalesce(short_desc, '')}, n).d AS one_liner FROM found_companies GROUP BY 1),
+    oc AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM companies),
+    co AS (SELECT oc.id, oc.name, CASE WHEN nth = 1 AND fl.name IS NOT NULL THEN fl.website ELSE oc.website END AS website, CASE WHEN nth = 1 AND fl.name IS NOT NULL THEN fl.status ELSE oc.status END AS status FROM oc LEFT JOIN fl ON oc.name = fl.name
+        UNION ALL SELECT 'cmp_' || left(sha256(name), 12), name, website, status FROM fl WHERE name NOT IN (SELECT name FROM companies)), ci AS (SELECT name, min(id) AS id FROM co GROUP BY 1)"""
+GOODS = """gi AS (SELECT n, ci.id AS company_id, g.name, category, CASE n % 4 WHEN 0 THEN 'beta' WHEN 1 THEN 'ga' WHEN 2 THEN 'alpha' ELSE 'discontinued' END AS stage FROM found_products g JOIN ci ON g.company = ci.name), gl AS (SELECT name, company_id, arg_max(category, n) AS category, arg_max(stage, n) AS stage FROM gi GROUP BY 1, 2),
+    op AS (SELECT *, row_number() OVER (PARTITION BY name, company_id ORDER BY id) AS nth FROM products),
+    pr AS (SELECT op.id, op.name, op.company_id, CASE WHEN nth = 1 AND gl.name IS NOT NULL THEN gl.category ELSE op.category END AS category, CASE WHEN nth = 1 AND gl.name IS NOT NULL THEN gl.stage ELSE op.stage END AS stage FROM op LEFT JOIN gl ON op.name = gl.name AND op.company_id = gl.company_id
+        UNION ALL SELECT 'prd_' || left(sha256(company_id || ':' || name), 12), name, company_id, category, stage FROM gl WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.name = gl.name AND p.company_id = gl.company_id)), pi AS (SELECT name, company_id, min(id) AS id FROM pr GROUP BY 1, 2)"""
+SKILLS = "cp AS (SELECT id, name FROM capabilities UNION ALL SELECT DISTINCT 'cap_' || left(sha256(name), 12), name FROM found_capabilities WHERE name NOT IN (SELECT name FROM capabilities)), si AS (SELECT name, min(id) AS id FROM cp GROUP BY 1)"
+add("j6_import_companies", lambda t: imported(t)["companies"].select("id", "name", "website", "status"), f"WITH {FIRMS} SELECT * FROM co")
+add("j6_import_summaries", lambda t: imported(t)["company_summaries"].select("company_id", "one_liner"),
+    f"WITH {FIRMS}, sm AS (SELECT ci.id AS company_id, one_liner FROM fl JOIN ci USING (name)), os AS (SELECT company_id, one_liner FROM company_summaries QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY pos) = 1) SELECT company_id, coalesce(sm.one_liner, os.one_liner) AS one_liner FROM os FULL JOIN sm USING (company_id)")
+add("j6_import_products", lambda t: imported(t)["products"].select("id", "name", "company_id", "category", "stage"), f"WITH {FIRMS}, {GOODS} SELECT * FROM pr")
+add("j6_import_capabilities", lambda t: imported(t)["capabilities"].select("id", "name"), f"WITH {SKILLS} SELECT * FROM cp")
+add("j6_import_links", lambda t: imported(t)["product_capabilities"].select("id", "product_id", "capability_id", "maturity"),
+    f"""WITH {FIRMS}, {GOODS}, {SKILLS}, li AS (SELECT f.n, pi.id AS product_id, si.id AS capability_id, CASE WHEN maturity = 'Expert level' THEN 'expert' ELSE 'basic' END AS maturity FROM found_capabilities f JOIN ci ON f.company = ci.name JOIN pi ON f.product = pi.name AND pi.company_id = ci.id JOIN si ON f.name = si.name)
+    SELECT id, product_id, capability_id, maturity FROM product_capabilities UNION ALL SELECT 'pc_' || left(sha256(product_id || ':' || capability_id), 12), product_id, capability_id, arg_min(maturity, n) FROM li WHERE NOT EXISTS (SELECT 1 FROM product_capabilities o WHERE o.product_id = li.product_id AND o.capability_id = li.capability_id) GROUP BY 2, 3""")
+split = lambda t: responses.product_tables(responses.parse_responses(t.consolidated))
+add("j9_product_table", lambda t: split(t)[0].select("id", "name", "category", "stage", F.array_join("tags", "|").alias("tags"), F.array_join("markets", "|").alias("markets"), F.col("specs")["weight"]["value"].alias("weight"), F.size("specs").alias("n_specs"), "short_desc", "confidence"),
+    """SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE p_type END AS category, CASE p_partkey % 3 WHEN 0 THEN 'ga' WHEN 1 THEN 'beta' ELSE 'alpha' END AS stage, p_brand AS tags, '' AS markets, p_size || '' AS weight, 1 AS n_specs, NULL AS short_desc, 0.9 AS confidence FROM part
+    UNION ALL SELECT p_partkey, 'Named ' || p_size, 'unknown', 'ga', '', '', NULL, 0, NULL, 0.9 FROM part""")
+add("j9_capability_table", lambda t: split(t)[1].select("id", "product", "pos", "name", "definition", F.size("tags").alias("n_tags"), "category"),
+    "SELECT p_partkey AS id, p_name AS product, 0 AS pos, 'a' || (p_partkey % 4) AS name, NULL AS definition, 0 AS n_tags, 'general' AS category FROM part UNION ALL SELECT p_partkey, p_name, 2, '', 'd', 0, 'general' FROM part")
+
+# --- U: rules from tables ---------------------------------------------------------------------------------------
+
+add("u_product_rules", lambda t: patterns.facts(fact_text(t), patterns.product_rules(t.spark)).select("id", *[F.col("facts")[n].alias(n) for n, _, _ in (*pages.PRICE_PATTERNS, *pages.SPEC_PATTERNS)]), f"SELECT id, {PRICED} FROM ({FACT_TEXT}) q")
+add("u_release_rules", lambda t: patterns.release_facts(t.spark.sql(RELEASES.replace("FROM orders", "FROM {orders}"), orders=t.orders), patterns.release_rules(t.spark)).select("id", "version", "date", "release_name"),
+    f"SELECT id, v AS version, d AS date, CASE WHEN v IS NOT NULL THEN 'Version ' || v WHEN d IS NOT NULL THEN 'Release Unknown' END AS release_name FROM (SELECT id, nullif(regexp_extract(text, '{pages.RELEASE_VERSION}', 1), '') AS v, nullif(regexp_extract(text, '{pages.RELEASE_DATE}', 1), '') AS d FROM ({RELEASES}) r) q")
+add("u_page_rules", lambda t: patterns.classify(pages.page_metadata(t.site_pages), patterns.page_rules(t.spark)).select("page_id", "category", F.round("base_score", 9).alias("score"), F.array_join("signals", ",").alias("signals")), f"WITH {classified()} SELECT page_id, category, round(score, 9) AS score, signals FROM c")
+
+# --- A, D, F, J: exports by folder, cascade purge, counters, profiles --------------------------------------------
+
+
+def exported(t: Tables) -> DataFrame:
+    """Exports written as JSON below a folder by stage and name, then the newest ones read back."""
+    folder = new_folder(t.spark, "exports")
+    rows = t.orders.select(F.when(F.col("o_orderkey") % 50 > 30, "2A").otherwise("2B").alias("stage"), F.concat(F.lit("Firm_"), F.col("o_orderkey") % 3, F.lit("_"), F.col("o_orderkey") % 50).alias("file_name"), F.col("o_orderkey").alias("n"), F.col("o_orderstatus").alias("status"))
+    rows.repartition(8, "stage", "file_name").write.partitionBy("stage", "file_name").json(folder)
+    wanted = t.spark.range(5).select(F.concat(F.lit("firm "), "id").alias("competitor"))
+    return files.read_latest_exports(t.spark, folder, wanted, "n long, status string")
+
+
+add("a6_read_latest_exports", exported,
+    """WITH f AS (SELECT 'firm ' || (o_orderkey % 3) AS competitor, CASE WHEN o_orderkey % 50 > 30 THEN '2A' ELSE '2B' END AS stage, 'Firm_' || (o_orderkey % 3) || '_' || (o_orderkey % 50) AS file_name, o_orderkey AS n, o_orderstatus AS status FROM orders),
+    l AS (SELECT competitor, stage, max(file_name) AS file_name FROM f GROUP BY ALL) SELECT f.* FROM f JOIN l USING (competitor, stage, file_name) WHERE competitor IN (SELECT competitor FROM l GROUP BY 1 HAVING count(*) = 2)""")
+latest = lambda t: files.export_latest(t.crawl_sessions, t.crawled, t.crawl_sessions, t.fingerprints, t.crawl_sessions)
+small = lambda t: t.crawl_sessions.where("id < 5")
+add("a10_export_latest", lambda t: files.export_latest(small(t), t.crawled, small(t), t.fingerprints, t.crawl_sessions)["crawl"].select("competitor", "session_id", "id", "url"),
+    "WITH l AS (SELECT competitor, arg_max(id, {'s': started_at, 'i': id}) AS session_id FROM crawl_sessions WHERE id < 5 GROUP BY 1) SELECT competitor, session_id, c.id, url FROM crawled c JOIN l USING (session_id)")
+add("a10_export_latest_fingerprints", lambda t: files.export_latest(small(t), t.crawled, small(t), t.fingerprints, t.crawl_sessions)["fingerprints"].select("competitor", "id", "extracted_text_preview"),
+    "WITH l AS (SELECT competitor, max(id) AS s FROM crawl_sessions WHERE id < 5 GROUP BY 1) SELECT l.competitor, f.id, left(extracted_text, 5000) AS extracted_text_preview FROM fingerprints f JOIN l ON f.fingerprint_session_id = l.s")
+add("a10_export_latest_extraction", lambda t: latest(t)["extraction"].select("id", "competitor"), "SELECT arg_max(id, {'s': started_at, 'i': id}) AS id, competitor FROM crawl_sessions GROUP BY competitor")
+
+
+def purged(t: Tables) -> DataFrame:
+    store = Published(t.spark, new_folder(t.spark, "purge"))
+    store.publish({"sessions": t.crawl_sessions, "pages": t.crawled, "fingerprints": t.fingerprints})
+    return files.purge(store, t.crawl_sessions.where("id < 3"))
+
+
+add("a12_purge_cascade", purged,
+    """WITH p AS (SELECT id FROM crawled WHERE session_id IN (SELECT id FROM crawl_sessions WHERE id < 3)) SELECT 'sessions' AS table_name, count(*) FILTER (id < 3) AS removed, count(*) FILTER (id >= 3) AS kept FROM crawl_sessions
+    UNION ALL SELECT 'pages', count(*) FILTER (id IN (SELECT id FROM p)), count(*) FILTER (id NOT IN (SELECT id FROM p)) FROM crawled UNION ALL SELECT 'fingerprints', count(*) FILTER (page_id IN (SELECT id FROM p)), count(*) FILTER (page_id NOT IN (SELECT id FROM p)) FROM fingerprints""")
+add("d7_run_counters", lambda t: stats.run_counters(t.crawl_sessions, t.page_outcomes, t.found_entities, t.found_entities.where("entity_type = 'release'")),
+    """SELECT s.id AS session_id, coalesce(a, 0) AS processed_pages, coalesce(b, 0) AS skipped_pages, coalesce(c, 0) AS failed_pages, coalesce(h, 0) AS cache_hits, coalesce(r, 0) AS total_retries, coalesce(co, 0) AS company_found, coalesce(pr, 0) AS product_found, 0 AS capability_found, coalesce(re, 0) AS release_found, 0 AS document_found, coalesce(si, 0) AS signal_found, coalesce(ch, 0) AS changes_detected
+    FROM crawl_sessions s LEFT JOIN (SELECT session_id, count(*) FILTER (outcome = 'processed') AS a, count(*) FILTER (outcome = 'skipped') AS b, count(*) FILTER (outcome = 'failed') AS c, count(*) FILTER (cache_hit) AS h, sum(retries)::BIGINT AS r FROM page_outcomes GROUP BY 1) o ON o.session_id = s.id
+    LEFT JOIN (SELECT session_id, count(DISTINCT entity_id) FILTER (entity_type = 'company') AS co, count(DISTINCT entity_id) FILTER (entity_type = 'product') AS pr, count(DISTINCT entity_id) FILTER (entity_type = 'release') AS re, count(DISTINCT entity_id) FILTER (entity_type = 'signal') AS si, count(*) FILTER (entity_type = 'release') AS ch FROM found_entities GROUP BY 1) f ON f.session_id = s.id""")
+add("d4_scoring_details", lambda t: stats.scoring_details(t.crawled).select("id", "outcome", "reason", "score"), "SELECT id, CASE WHEN contains(reason, 'attempted') AND ai_success THEN 'successful' WHEN contains(reason, 'attempted') THEN 'failed' ELSE 'skipped' END AS outcome, reason, score FROM crawled")
+SKETCHED = ("website", "status", "hq_country", "name")
+
+
+def sketched(t: Tables) -> DataFrame:
+    """Profiles of two halves, united; near tells whether the estimate lies within 2 % of the exact number."""
+    halves = [stats.profile_sketches(t.companies.where(f"pmod(hash(id), 2) = {k}"), list(SKETCHED)) for k in (0, 1)]
+    merged = stats.profile_estimates(stats.merge_profiles(halves[0].unionByName(halves[1])))
+    exact = stats.column_profile(t.companies, list(SKETCHED)).select("column_name", F.col("different").alias("exact"))
+    return merged.join(exact, "column_name").select("column_name", "n", "valid", "nulls", (F.abs(F.col("different") - F.col("exact")) <= F.greatest(F.col("exact") * 0.02, F.lit(0.5))).alias("near"))
+
+
+add("d14_profile_sketches", sketched, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, count({c}) AS valid, count(*) FILTER ({c} IS NULL) AS nulls, true AS near FROM companies" for c in SKETCHED))
+paired = lambda t: t.versions.withColumn("data", entities.payload(FIELDS)).withColumn("old", F.lag("data").over(Window.partitionBy("entity_id").orderBy("created_at", "n"))).where("old is not null").withColumn("s", entities.field_sets(F.col("old"), F.col("data")))
+KIND_OF = {"added": "p_{f} IS NULL AND {f} IS NOT NULL", "removed": "p_{f} IS NOT NULL AND {f} IS NULL", "modified": "p_{f} <> {f}"}
+add("f5_changed_fields", lambda t: paired(t).select("entity_id", "n", *[F.array_join(f"s.{k}", ",").alias(k) for k in KIND_OF]),
+    f"{LAGGED} SELECT entity_id, n, " + ", ".join("array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond.format(f=f)} THEN '{f}' END" for f in sorted(FIELDS)) + f"], lambda x: x IS NOT NULL), ',') AS {k}" for k, cond in KIND_OF.items()) + " FROM l WHERE p_n IS NOT NULL")
+add("j7_product_profiles", lambda t: entities.product_profiles(t.facts).select("company_id", "name", F.array_join("markets", ",").alias("markets"), F.array_join("tags", ",").alias("tags"), "stage", F.size("sources").alias("sources"), F.col("specs")["WEIGHT"].alias("weight")),
+    f"""SELECT company_id, name, string_agg(DISTINCT market, ',' ORDER BY market) AS markets, array_to_string(list_sort(list_distinct(list(lower(tag))))[1:5], ',') AS tags, CASE min({STAGED}) WHEN 0 THEN 'discontinued' WHEN 1 THEN 'alpha' WHEN 2 THEN 'beta' ELSE 'ga' END AS stage, count(DISTINCT url) AS sources,
+    arg_min(replace(bullet, 'WEIGHT: ', ''), {{'u': url, 'v': replace(bullet, 'WEIGHT: ', '')}}) AS weight FROM facts GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY name) <= 20""")
+add("j8_company_profile", lambda t: entities.company_profile(t.facts).select("company_id", "name", F.array_join("aliases", "|").alias("aliases"), "website", F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources")),
+    """WITH n AS (SELECT company_id, arg_min(name, {'r': CASE lower(page_type) WHEN 'product' THEN 3 WHEN 'docs' THEN 4 ELSE 5 END, 'u': url, 'n': name}) AS name, list_sort(list_distinct(list(name))) AS names, min({'l': length(url), 'u': url}).u AS website,
+    array_to_string(list_sort(list_distinct(list(lower(tag))))[1:3], ',') AS tags, array_to_string(list_sort(list_distinct(list(url)))[1:6], ',') AS sources FROM facts GROUP BY 1) SELECT company_id, name, array_to_string(list_filter(names, lambda x: x <> name), '|') AS aliases, website, tags, sources FROM n""")

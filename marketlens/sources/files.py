@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketlens.storage import Published
+
 SEED = {
     "companies": "id string, name string, aliases array<string>, hqCountry string, website string, status string, tags array<string>, logoUrl string, isSelf boolean",
     "company_summaries": "company_id string, one_liner string, founded_year int, hq_city string, employees string, footprint string, sites array<string>, sources array<string>",
@@ -70,6 +72,56 @@ def latest_exports(files: DataFrame) -> DataFrame:
     return last.join(both, "competitor", "left_semi")
 
 
+#: A stage's folder and, below it, an export: a file, or a folder of part files.
+EXPORT = r"/(?:Step|stage=)(2A|2B)/(?:file_name=)?([^/]+)"
+
+
+def export_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, stage, file_name) of the exports below a folder; files are listed, not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return listed.select("path", F.regexp_extract("path", EXPORT, 1).alias("stage"), F.url_decode(F.regexp_extract("path", EXPORT, 2)).alias("file_name")).where("stage <> ''")
+
+
+def read_latest_exports(spark: SparkSession, folder: str, competitors: DataFrame, schema: str) -> DataFrame:
+    """The rows of the newest exports below a folder, with competitor, stage and file_name before the columns of schema.
+
+    For each competitor the last file by name of both stages whose lower-cased name has the competitor's (blanks as _);
+    a competitor without one of the stages is left out. Only the files that are chosen are opened: their paths, two for
+    each competitor, are what the driver gets.
+    """
+    files = export_files(spark, folder)
+    wanted = competitors.select("competitor").distinct()
+    named = files.select("stage", "file_name").distinct().join(F.broadcast(wanted), F.contains(F.lower("file_name"), F.lower(F.replace("competitor", F.lit(" "), F.lit("_")))))
+    last = latest_exports(named)
+    chosen = last.join(files, ["stage", "file_name"]).select("competitor", "stage", "file_name", "path").distinct()
+    paths = sorted({r.path for r in chosen.select("path").collect()})
+    if not paths:
+        return spark.createDataFrame([], f"competitor string, stage string, file_name string, {schema}")
+    rows = spark.read.schema(schema).json(paths)
+    data = rows.columns
+    return rows.withColumn("path", F.col("_metadata.file_path")).join(F.broadcast(chosen), "path").select("competitor", "stage", "file_name", *data)
+
+
+def latest_runs(runs: DataFrame, by: str = "started_at") -> DataFrame:
+    """(competitor, id) of the last run of each competitor, null times before all others."""
+    return runs.groupBy("competitor").agg(F.max_by("id", F.struct(by, "id")).alias("id"))
+
+
+def export_latest(crawls: DataFrame, pages: DataFrame, prints: DataFrame, fingerprints: DataFrame, extractions: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """Exports of the last run of each stage of every competitor: pages of the last crawl and fingerprints of the last
+    fingerprint run (runs: id, competitor, started_at; the latter by id), and the last extraction run itself."""
+    of = lambda runs, by, name: latest_runs(runs, by).withColumnRenamed("id", name)
+    out = {
+        "crawl": pages.join(of(crawls, "started_at", "session_id"), "session_id").select("competitor", "session_id", "id", "url", "canonical_url", "primary_category", "score", "content_hash"),
+        "fingerprints": fingerprints.drop("competitor").join(of(prints, "id", "fingerprint_session_id"), "fingerprint_session_id").select("competitor", "fingerprint_session_id", "id", "url", "page_type", "content_hash", F.left("extracted_text", F.lit(5000)).alias("extracted_text_preview")),
+        "extraction": extractions.join(of(extractions, "started_at", "id").select("id"), "id", "left_semi"),
+    }
+    if path:
+        for name, df in out.items():
+            df.write.mode("overwrite").partitionBy("competitor").json(f"{path}/{name}")
+    return out
+
+
 def export_crawl(pages: DataFrame, session_id: int, path: str | None = None) -> DataFrame:
     columns = ["session_id", "url", "canonical_url", "status_code", "primary_category", "score", "depth", "size_bytes", "content_hash", "crawled_at", "id"]
     out = pages.where(F.col("session_id") == session_id).select(*columns).orderBy(F.desc("score"), "id")
@@ -108,3 +160,19 @@ def purge_sessions(sessions: DataFrame, pages: DataFrame, ids: DataFrame | None
     pages_left = pages.join(gone.withColumnRenamed("id", "session_id"), "session_id", "left_anti")
     counts = sessions.join(gone, "id", "left_semi").agg(F.count("*").alias("sessions_removed")).crossJoin(pages.join(gone.withColumnRenamed("id", "session_id"), "session_id", "left_semi").agg(F.count("*").alias("pages_removed")))
     return left, pages_left, counts
+
+
+def purge(store: Published, ids: DataFrame | None = None) -> DataFrame:
+    """Removes runs (id), all without ids, with their pages and the fingerprints of these; one row of counts.
+
+    store publishes the tables sessions, pages (id, session_id) and fingerprints (page_id). What is left is written beside
+    it and becomes the next version at once; a failure midway leaves the version before, and readers see either.
+    """
+    base = store.version()
+    sessions, pages, prints = (store.read(n, base) for n in ("sessions", "pages", "fingerprints"))
+    gone = (sessions.select("id") if ids is None else ids.select("id")).distinct()
+    dead = pages.join(gone.withColumnRenamed("id", "session_id"), "session_id", "left_semi").select(F.col("id").alias("page_id")).distinct()
+    left = {"sessions": sessions.join(gone, "id", "left_anti"), "pages": pages.join(gone.withColumnRenamed("id", "session_id"), "session_id", "left_anti"), "fingerprints": prints.join(dead, "page_id", "left_anti")}
+    number = store.publish(left, base)
+    per = load_counts({"sessions": sessions, "pages": pages, "fingerprints": prints}).withColumnRenamed("n", "before").join(load_counts({n: store.read(n, number) for n in left}), "table_name")
+    return per.select("table_name", (F.col("before") - F.col("n")).alias("removed"), F.col("n").alias("kept"))

@@ -118,7 +118,7 @@ def test_merge_is_idempotent_and_equal_states_do_not_change(spark):
 
 
 def test_checks_raise_in_strict_mode(spark):
-    bad = spark.createDataFrame([("p1", None, "gamma", "c")], "id string, name string, stage string, company_id string")
+    bad = spark.createDataFrame([("p1", None, "gamma", "c", "x", [], [])], "id string, name string, stage string, company_id string, category string, markets array<string>, tags array<string>")
     assert {(r.path, r.message) for r in checks.check(bad, "product").collect()} == {("name", "required"), ("stage", "not in enum")}
     with pytest.raises(ValueError):
         checks.check(bad, "product", strict=True)

@@ -2,7 +2,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import entities
 from marketlens.sources import files
 from marketlens.streaming import progress
 
@@ -67,17 +66,6 @@ def test_streams_match_their_batch_forms(spark, sf, tmp_path):
     assert got.count() == 20
 
 
-def test_change_stream(spark, sf, tmp_path):
-    from marketlens.fixtures import Tables
-
-    states = Tables(spark, sf).versions.withColumn("data", entities.payload(["name", "status", "version", "pricing"])).select("entity_type", "entity_id", "n", "created_at", "data")
-    stream = replay(spark, entities.latest_snapshots(states), str(tmp_path / "states"), 1)
-    snaps, changes = str(tmp_path / "snaps"), str(tmp_path / "changes")
-    for _ in range(2):
-        progress.changes_stream(stream, snaps, changes, str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(snaps).count() == entities.latest_snapshots(states).count() and spark.read.parquet(changes).count() == 0
-
-
 def test_silent_sessions(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "session_id long, kind string, ts timestamp"
