@@ -49,17 +49,56 @@ LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
 MAGIC = b"MLTOKEN1"
 HEADER, BLOCK_HEADER = struct.Struct("<8s6I"), struct.Struct("<4I")
 #: Characters of text that are encoded by one call, and pieces of text whose ids are remembered in each of two generations.
-CALL_CHARS, KNOWN = 4_000_000, 300_000
+CALL_CHARS, KNOWN, KNOWN_LENGTH = 4_000_000, 400_000, 64
 PLAIN = "part int, section int, names array<bigint>, sizes array<bigint>, ids binary, wide boolean"
 PLACED = "part int, section int, file string, at long, bytes long, n_docs long, n_tokens long"
 KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 
 #: A byte-level tokenizer never joins a character that is no white space to a blank or line end behind it.
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Where a text has none of these, each of its blanks and line ends starts a piece.
+DOUBLE = ("  ", "\n\n", " \n", "\n ")
+#: Marks that end a word.
+MARKS = ".,;:!?"
 #: White space of other kinds, and characters that some pattern libraries count as such.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + list("\u180e\u200b\ufeff")
 
 
+class Memory:
+    """Ids of pieces of text by a library call, kept as long as they are met again before so many others."""
+
+    def __init__(self, library):
+        self.library = library
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, lists: list[list[str]]) -> list[bytes]:
+        known = self.known
+        wanted = set(chain.from_iterable(lists)) - known.keys()
+        again = wanted & self.older.keys()
+        fresh = list(wanted - again)
+        known.update({p: self.older[p] for p in again})
+        known.update(zip(fresh, self.library(fresh), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
+        for p in fresh:
+            if len(p) > KNOWN_LENGTH:
+                del known[p]
+        if len(known) > KNOWN:
+            self.older, self.known = known, {}
+        return out
+
+
+class Characters(dict):
+    """What the model sees for a character, by its code: the characters that stand for its bytes."""
+
+    def __init__(self, before):
+        self.before = before
+
+    def __missing__(self, code: int) -> str:
+        self[code] = self.before.pre_tokenize_str(chr(code))[0][0]
+        return self[code]
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, which sees each different piece of text once as long as it is remembered."""
 
@@ -73,29 +112,53 @@ class Encoder:
         before = spec["pre_tokenizer"] or {}
         added = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.in_pieces = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not added
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(self._library), Memory(self._spaced)
+        if self.in_pieces:
+            self.marks = dict(zip((*MARKS, "\n"), self._library([*MARKS, "\n"]), strict=True))
+            self.characters = Characters(self.tokenizer.pre_tokenizer)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words with the blank before them, or the line end that they start with.
+
+        Letters, and one mark behind them, are tokens apart, so these words go to the library's model at once.
+        """
+        out, rest = [], []
+        tokenize, characters = self.tokenizer.model.tokenize, self.characters
+        for word in words:
+            core, tail = (word[:-1], self.marks[word[-1]]) if word[-1:] in MARKS and word else (word, b"")
+            if tail and core in self.words.known and core.isalpha():
+                out.append(self.words.known[core] + tail)
+                continue
+            lead = core[:1] == "\n"
+            body = core[1:] if lead else core
+            if body.isalpha() and (body.isascii() or max(body) < "\u2000"):
+                found = array("I", [t.id for t in tokenize(body.translate(characters) if lead else characters[32] + body.translate(characters))]).tobytes()
+                out.append((self.marks["\n"] + found if lead else found) + tail)
+            else:
+                out.append(None)
+                rest.append(word if word[:1] == "\n" else " " + word)
+        others = iter(self._library(rest))
+        return [next(others) if ids is None else ids for ids in out]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as native 32-bit integers."""
-        pieces = [PIECE.findall(t) if self.in_pieces and not any(c in t for c in OTHER_SPACE) else [t] for t in texts]
-        wanted = set(chain.from_iterable(pieces)) - self.known.keys()
-        again = wanted & self.older.keys()
-        fresh = list(wanted - again)
-        self.known.update({p: self.older[p] for p in again})
-        self.known.update(zip(fresh, self._library(fresh), strict=True))
-        known = self.known
-        out = [b"".join([known[p] for p in t]) for t in pieces]
-        for p in fresh:
-            if len(p) > 64:
-                del known[p]
-        if len(known) > KNOWN:
-            self.older, self.known = known, {}
-        return out
+        """The ids of each text, as native 32-bit integers: of its first pieces, then of the words behind a blank or line end."""
+        first, rest = [], []
+        for t in texts:
+            words = []
+            if not self.in_pieces or any(c in t for c in OTHER_SPACE):
+                start = [t]
+            elif any(d in t for d in DOUBLE):
+                start = PIECE.findall(t)
+            else:
+                words = t.replace("\n", " \n").split(" ")
+                start = words[:1]
+                del words[:1]
+            first.append(start)
+            rest.append(words)
+        return [a + b for a, b in zip(self.pieces(first), self.words(rest), strict=True)]
 
 
 _encoder = cache(Encoder)

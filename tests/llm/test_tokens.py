@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -35,10 +36,10 @@ def rows_of(spark, docs):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'sé1 2\n\t\r.,!\u00a0\u2028\u180e\u200b\ufeff\x1c\x85日😀<|endoftext|>"), max_size=40), max_size=6))
+@given(st.lists(st.text(st.sampled_from("ab'sé1 2  \n\t\r.,!?\u00a0\u0301\u02b0\u2028\u180e\u200b\ufeff\x1c\x85日😀<|endoftext|>"), max_size=40), max_size=6))
 def test_pieces_give_the_ids_of_whole_texts(texts):
     encode = tokens._encoder(tokens.default_path())
-    texts = [*texts, *(t + " <|endoftext|>x\n\n y" for t in texts)]
+    texts = [*texts, *(re.sub(r"\s+", " ", t) for t in texts), *(re.sub(r"\s+", "\n", t) for t in texts), *(t + " <|endoftext|>x\n\n y" for t in texts)]
     assert encode.in_pieces and [np.frombuffer(b, np.uint32).tolist() for b in encode(texts)] == [whole(t) for t in texts]
 
 
@@ -46,8 +47,10 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN", 50)
     encode = tokens.Encoder(tokens.default_path())
     for k in range(20):
-        text = " ".join(f"w{k}x{i}" for i in range(40)) + " " + "y" * 500
-        assert np.frombuffer(encode([text])[0], np.uint32).tolist() == whole(text) and len(encode.known) <= 50 and len(encode.older) <= 92 and all(len(p) <= 64 for p in {**encode.known, **encode.older})
+        text = ("  " if k % 2 else "") + " ".join(f"w{k}x{i}" for i in range(40)) + "\nline " + "y" * 500
+        assert np.frombuffer(encode([text])[0], np.uint32).tolist() == whole(text)
+        for memory in (encode.pieces, encode.words):
+            assert len(memory.known) <= 50 and len(memory.older) <= 92 and all(len(p) <= 64 for p in {**memory.known, **memory.older})
 
 
 @settings(max_examples=60, deadline=None)
