@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.shared import Scratch, table
 
 MODEL, END = "byte_bpe_50k.json", 0
-LANES, STEPS, BLOCK = 16, 256, 16_384
+LANES, STEPS, BLOCK = 32, 256, 16_384
 #: A section ends with the document that fills so many ids; so many blocks, or units, are coded side by side.
 SECTION, SIDE = 1_000_000, 64
 #: Bits of the frequency table's total.
@@ -49,7 +49,7 @@ LOW, WORD_BITS = np.uint64(1 << 31), np.uint64(32)
 MAGIC = b"MLTOKEN1"
 HEADER, BLOCK_HEADER = struct.Struct("<8s6I"), struct.Struct("<4I")
 #: Characters of text that are encoded by one call, and pieces of text whose ids are remembered in each of two generations.
-CALL_CHARS, KNOWN, KNOWN_LENGTH = 4_000_000, 400_000, 64
+CALL_CHARS, KNOWN, KNOWN_LENGTH = 4_000_000, 700_000, 64
 PLAIN = "part int, section int, names array<bigint>, sizes array<bigint>, ids binary, wide boolean"
 PLACED = "part int, section int, file string, at long, bytes long, n_docs long, n_tokens long"
 KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
@@ -126,11 +126,11 @@ class Encoder:
         Letters, and one mark behind them, are tokens apart, so these words go to the library's model at once.
         """
         out, rest = [], []
-        tokenize, characters = self.tokenizer.model.tokenize, self.characters
+        tokenize, characters, known, older = self.tokenizer.model.tokenize, self.characters, self.words.known, self.words.older
         for word in words:
             core, tail = (word[:-1], self.marks[word[-1]]) if word[-1:] in MARKS and word else (word, b"")
-            if tail and core in self.words.known and core.isalpha():
-                out.append(self.words.known[core] + tail)
+            if tail and (met := known.get(core) or older.get(core)) and core.isalpha():
+                out.append(met + tail)
                 continue
             lead = core[:1] == "\n"
             body = core[1:] if lead else core
