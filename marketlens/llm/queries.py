@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketlens.llm import jaccard, lines, merkle, mixing, nearcopies, neighbours, periods, pieces, quality, secrets, suffixes, tokens, toxicity
+from marketlens.llm import jaccard, lines, merkle, mixing, nearcopies, neighbours, periods, pieces, quality, secrets, sql, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -20,4 +20,4 @@ QUERIES = {
     "op13_tokens": tokens.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
