@@ -86,8 +86,8 @@ def bucket_of(column: str | Column, modulus: int) -> Column:
 
 
 def labelled(spark, sf_dir, label: str, modulus: int, held: int) -> DataFrame:
-    """(doc_id, y): the labels outside the held-out fold."""
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
+    """(doc_id, y): the labels outside the held-out fold; of several labels of a document the largest counts."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     return rows.where(bucket_of("doc_id", modulus) != held)
 
 

@@ -18,13 +18,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import bucket_of, labelled, labelled_sample, table
+from marketlens.llm.shared import Scratch, bucket_of, labelled, labelled_sample, table
 
 #: Rows of the labelled sample that the classifier is fitted on, at most, by class.
 POSITIVES, NEGATIVES = 2500, 4500
+#: Hashed features (three a word) of the texts that it is fitted on, at most; texts beyond, by a hash of the id, are left out whole.
+MOST_FEATURES = 24_000_000
 MODULUS, HELD, THRESHOLD = 4, 2, 0.3
 BUCKETS, WIDTHS, DIM, FILTERS = 1 << 20, (1, 2, 3), 8, 8
 
@@ -201,7 +203,12 @@ def train(docs: DataFrame, sample: DataFrame, seed: int = 7, epochs: int = 6, ca
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "text", "lang", "y").mapInArrow(hashed, "doc_id long, w array<int>, lang string, y int").toArrow()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    saved = scratch.save(rows.select("doc_id", "text", "lang", "y").mapInArrow(hashed, "doc_id long, w array<int>, lang string, y int"))
+    # the sample only, so few rows
+    upto = F.sum(F.size("w")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = saved.withColumn("upto", upto).where(F.col("upto") <= MOST_FEATURES).drop("upto").toArrow()
+    scratch.close()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the words themselves are not sorted, which would copy them
     texts = [w.values.to_numpy().reshape(-1, 3) for w in got.column("w")]
     texts = [texts[i] for i in order]
