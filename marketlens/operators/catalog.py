@@ -254,4 +254,4 @@ def fingerprints_with_page(fingerprints, pages):
 def known_ids(incoming, existing, key: str = "name"):
     """(id, old_id) of every incoming row: the least id of the existing rows of its key, null if there is none."""
     old = existing.groupBy(key).agg(F.min("id").alias("old_id"))
-    return incoming.select(key, "id").join(old, key, "left").groupBy("id").agg(F.min("old_id").alias("old_id"))
+    return incoming.select(key, "id").join(old, key, "left").select("id", "old_id")

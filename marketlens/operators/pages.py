@@ -28,6 +28,7 @@ WORD_RULES = (
     ("pricing_title", "pricing", 0.7, "title", "pricing plans cost".split()), ("releases_title", "releases", 0.7, "title", "release update changelog version".split()), ("news_title", "news", 0.4, "title", "news blog press announcement".split()),
 )
 PRIORITY = {"product": 6, "datasheet": 5, "docs": 4, "releases": 3, "pricing": 2, "news": 1, "other": 0}
+# Patterns of prices, specifications, names, releases, changelog entries and kinds of document.
 PRICE_PATTERNS = (
     ("currency_amount", r"[\$€£¥]\s*(\d+(?:,\d{3})*(?:\.\d{2})?)", 0.9),
     ("per_month_pricing", r"(?i)(\d+(?:\.\d{2})?)\s*(?:per|/)\s*month", 0.85),
@@ -178,12 +179,14 @@ def product_facts(docs, names=NAME_PATTERNS):
 
 
 def release_facts(docs):
-    """version, date and notes; a changelog entry overrides the version."""
+    """version, date, notes and the mean confidence of what was found; a changelog entry overrides the version."""
     t = F.coalesce(F.col("text"), F.lit(""))
     some = lambda c: F.nullif(c, F.lit(""))
     df = docs.withColumns({"v": some(F.regexp_extract(t, RELEASE_VERSION, 1)), "date": some(F.regexp_extract(t, RELEASE_DATE, 1)), "cv": some(F.regexp_extract(t, CHANGELOG, 1)), "notes": F.trim(some(F.regexp_extract(t, CHANGELOG, 2)))})
     df = df.withColumns({"version": F.coalesce("cv", "v"), "release_name": F.when(F.col("v").isNotNull(), F.concat(F.lit("Version "), "v")).when(F.coalesce("cv", "date").isNotNull(), F.concat(F.lit("Release "), F.coalesce("cv", F.lit("Unknown"))))})
-    return df.drop("v", "cv")
+    sure = F.array_compact(F.array(F.when(F.col("v").isNotNull(), F.lit(0.9)), F.when(F.col("date").isNotNull(), F.lit(0.85)), F.when(F.col("cv").isNotNull(), F.lit(0.8))))
+    mean = F.aggregate(sure, F.lit(0.0), lambda a, x: a + x, lambda a: F.when(F.size(sure) > 0, a / F.size(sure)).otherwise(0.0))
+    return df.withColumn("confidence", mean).drop("v", "cv")
 
 
 def company_from_url(df):
@@ -212,10 +215,17 @@ def extract_entities(docs):
         "release": release_facts(docs.where(kind.isin("release", "changelog"))).where("version is not null or date is not null"),
         "document": document_facts(docs.where(kind.isin("docs", "documentation"))),
     }
-    rows = [df.select("id", F.lit(name).alias("entity_type"), "url", (F.col("confidence") if "confidence" in df.columns else F.lit(0.85)).alias("confidence")) for name, df in out.items()]
+    rows = [df.select("id", F.lit(name).alias("entity_type"), "url", "confidence") for name, df in out.items()]
     return out | {"source": reduce(DataFrame.unionByName, rows)}
 
 
+def extraction_results(docs, least: float = 0.6):
+    """One row a document: how many kinds of entity were found, their mean confidence, and whether that is enough."""
+    found = extract_entities(docs)["source"].groupBy("id").agg(F.count_distinct("entity_type").alias("kinds"), F.round(F.avg("confidence"), 9).alias("confidence"))
+    out = docs.select("id", "page_type").join(found, "id", "left").na.fill({"kinds": 0, "confidence": 0.0})
+    return out.withColumn("success", (F.col("kinds") > 0) & (F.col("confidence") >= least))
+
+
 def fingerprint(df, text_col="extracted_text", raw_col="raw", type_col="content_type"):
     """Adds content_hash, normalized_text_len, low_text_pdf and needs_render."""
     kind, raw, t = content_family(F.col(type_col)), F.col(raw_col), F.trim(F.coalesce(F.col(text_col), F.lit("")))
@@ -241,6 +251,7 @@ def size_note(length: Column, most: int = 15_000_000) -> Column:
     return F.when(length > most, F.lit("over size limit"))
 
 
+# Artifacts of extracted text and what stands for them.
 CLEANING = (
     (r"\n\s*\n\s*\n+", "\n\n"), (r"[ \t]+", " "), (r"\n ", "\n"), (r" \n", "\n"), (r"(?i)(Cookie|Cookies?)\s+(Policy|Einstellungen|Settings)", ""),
     (r"(?i)(Alle\s+)?Cookies?\s+(akzeptieren|erlauben)", ""), (r"(?i)Browser\s+not\s+compatible", ""), (r"(Return\s+)?Produkte\s+Branchenlösungen\s+Fallstudien\s+Ressourcen\s+News\s+Blogs", "Navigation:"),

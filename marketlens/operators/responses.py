@@ -49,7 +49,10 @@ def coerce_object(v: Column) -> Column:
 
 
 def validate_scores(df):
-    """Adds category, score, confidence, valid of parsed responses; any failure gives other, 0.1, 0.0."""
+    """Adds category, score, confidence, valid, reasoning, secondary_categories and signals of parsed responses.
+
+    Any failure gives other, 0.1, 0.0 and the signal parse_error; lists that a response doesn't have are empty.
+    """
     v = coerce_object(F.col("parsed"))
     of = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
     raw = F.coalesce(of("primary_category", "string"), of("category", "string"))
@@ -57,6 +60,13 @@ def validate_scores(df):
     ok = raw.isNotNull() & score.isNotNull() & sure.between(0, 1) & of("reasoning", "string").isNotNull()
     df = df.withColumns({"valid": F.coalesce(ok, F.lit(False)), "raw_category": raw, "raw_score": score, "raw_confidence": sure})
     known = F.lower("raw_category").isin(*CATEGORIES)
+    none = F.array().cast("array<string>")
+    listed = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), none)
+    df = df.withColumns({
+        "reasoning": F.when(F.col("valid"), of("reasoning", "string")).otherwise("Failed to parse AI response"),
+        "secondary_categories": F.when(F.col("valid"), listed("secondary_categories")).otherwise(none),
+        "signals": F.when(F.col("valid"), listed("signals")).otherwise(F.array(F.lit("parse_error"))),
+    })
     return df.withColumns({
         "category": F.when(F.col("valid") & known, F.lower("raw_category")).otherwise("other"),
         "score": F.when(F.col("valid"), F.col("raw_score")).otherwise(0.1),

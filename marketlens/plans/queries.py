@@ -652,3 +652,21 @@ add("j7_product_profiles", lambda t: entities.product_profiles(t.facts).select("
 add("j8_company_profile", lambda t: entities.company_profile(t.facts).select("company_id", "name", F.array_join("aliases", "|").alias("aliases"), "website", F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources")),
     """WITH n AS (SELECT company_id, arg_min(name, {'r': CASE lower(page_type) WHEN 'product' THEN 3 WHEN 'docs' THEN 4 ELSE 5 END, 'u': url, 'n': name}) AS name, list_sort(list_distinct(list(name))) AS names, min({'l': length(url), 'u': url}).u AS website,
     array_to_string(list_sort(list_distinct(list(lower(tag))))[1:3], ',') AS tags, array_to_string(list_sort(list_distinct(list(url)))[1:6], ',') AS sources FROM facts GROUP BY 1) SELECT company_id, name, array_to_string(list_filter(names, lambda x: x <> name), '|') AS aliases, website, tags, sources FROM n""")
+add("l3_score_details", lambda t: responses.validate_scores(parsed(t)).select("id", "reasoning", F.array_join("signals", "|").alias("signals"), F.size("secondary_categories").alias("n_secondary")),
+    f"SELECT id, CASE WHEN {VALID} THEN 'ok' ELSE 'Failed to parse AI response' END AS reasoning, CASE WHEN {VALID} THEN '' ELSE 'parse_error' END AS signals, 0 AS n_secondary FROM responses")
+released = lambda t: t.spark.sql(RELEASES.replace("FROM orders", "FROM {orders}"), orders=t.orders).withColumns({"url": F.concat(F.lit("https://acme.com/r/"), "id"), "page_type": F.when(F.col("id") % 2 == 0, "release").otherwise("docs")})
+add("g6_extraction_results", lambda t: pages.extraction_results(released(t)),
+    """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'release' ELSE 'docs' END AS page_type, CASE WHEN o_orderkey % 2 = 1 THEN 0.8::DOUBLE WHEN o_orderkey % 3 = 0 THEN 0.9::DOUBLE WHEN o_orderkey % 3 = 1 THEN 0.85::DOUBLE END AS c FROM orders)
+    SELECT id, page_type, CASE WHEN c IS NULL THEN 1 ELSE 2 END AS kinds, round(CASE WHEN c IS NULL THEN 0.7 ELSE (0.7::DOUBLE + c) / 2 END, 9) AS confidence, true AS success FROM c""")
+
+# --- H: summaries of the rules ------------------------------------------------------------------------------------
+
+
+def summary(name: str, column: str) -> None:
+    """How many rows have each outcome of a rule that another query applies."""
+    QUERIES[f"{name}_summary"] = lambda spark, sf_dir: text.outcome_summary(QUERIES[name](spark, sf_dir), F.coalesce(F.col(column).cast("string"), F.lit("none")))
+    ORACLE_SQL[f"{name}_summary"] = f"SELECT coalesce({column} || '', 'none') AS outcome, count(*) AS n FROM ({ORACLE_SQL[name]}) q GROUP BY 1"
+
+
+for rule, column in (("h7_extract_version", "version"), ("h8_product_tier", "tier"), ("h10_normalize_stage", "stage_lenient"), ("h11_normalize_maturity", "level"), ("h13_token_estimate", "tokens"), ("h6_normalize_text", "normalized")):
+    summary(rule, column)
