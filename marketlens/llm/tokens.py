@@ -28,7 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +74,7 @@ class Memory:
 
     def __call__(self, lists: list[list[str]]) -> list[bytes]:
         known = self.known
-        wanted = set(chain.from_iterable(lists)) - known.keys()
+        wanted = set(filterfalse(known.__contains__, chain.from_iterable(lists)))
         again = wanted & self.older.keys()
         fresh = list(wanted - again)
         known.update({p: self.older[p] for p in again})
