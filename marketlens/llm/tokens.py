@@ -64,27 +64,40 @@ MARKS = ".,;:!?"
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + list("\u180e\u200b\ufeff")
 
 
+class Known(dict):
+    """Ids by piece of text, asked for where they are missing."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.ask(piece)
+        return ids
+
+
 class Memory:
     """Ids of pieces of text by a library call, kept as long as they are met again before so many others."""
 
     def __init__(self, library):
         self.library = library
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self._find)
         self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def _find(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = self.library(piece)
+            if len(piece) > KNOWN_LENGTH:
+                self.long.append(piece)
+        return ids
 
     def __call__(self, lists: list[list[str]]) -> list[bytes]:
-        known = self.known
-        wanted = set(chain.from_iterable(lists)) - known.keys()
-        again = wanted & self.older.keys()
-        fresh = list(wanted - again)
-        known.update({p: self.older[p] for p in again})
-        known.update(zip(fresh, self.library(fresh), strict=True))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in lists]
-        for p in fresh:
-            if len(p) > KNOWN_LENGTH:
-                del known[p]
-        if len(known) > KNOWN:
-            self.older, self.known = known, {}
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in lists]
+        for p in self.long:
+            del self.known[p]
+        self.long.clear()
+        if len(self.known) > KNOWN:
+            self.older, self.known = self.known, Known(self._find)
         return out
 
 
@@ -114,34 +127,28 @@ class Encoder:
         self.in_pieces = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not added
         self.pieces, self.words = Memory(self._library), Memory(self._spaced)
         if self.in_pieces:
-            self.marks = dict(zip((*MARKS, "\n"), self._library([*MARKS, "\n"]), strict=True))
+            self.marks = {m: self._library(m) for m in (*MARKS, "\n")}
             self.characters = Characters(self.tokenizer.pre_tokenizer)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast((text,), add_special_tokens=False)[0].ids).tobytes()
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of words with the blank before them, or the line end that they start with.
+    def _spaced(self, word: str) -> bytes:
+        """The ids of a word with the blank before it, or the line end that it starts with.
 
-        Letters, and one mark behind them, are tokens apart, so these words go to the library's model at once.
+        Letters, and one mark behind them, are tokens apart, so such a word goes to the library's model at once.
         """
-        out, rest = [], []
-        tokenize, characters, known, older = self.tokenizer.model.tokenize, self.characters, self.words.known, self.words.older
-        for word in words:
-            core, tail = (word[:-1], self.marks[word[-1]]) if word[-1:] in MARKS and word else (word, b"")
-            if tail and (met := known.get(core) or older.get(core)) and core.isalpha():
-                out.append(met + tail)
-                continue
-            lead = core[:1] == "\n"
-            body = core[1:] if lead else core
-            if body.isalpha() and (body.isascii() or max(body) < "\u2000"):
-                found = array("I", [t.id for t in tokenize(body.translate(characters) if lead else characters[32] + body.translate(characters))]).tobytes()
-                out.append((self.marks["\n"] + found if lead else found) + tail)
-            else:
-                out.append(None)
-                rest.append(word if word[:1] == "\n" else " " + word)
-        others = iter(self._library(rest))
-        return [next(others) if ids is None else ids for ids in out]
+        core, tail = word, b""
+        if word and word[-1] in MARKS:
+            core, tail = word[:-1], self.marks[word[-1]]
+            if core.isalpha() and (met := self.words.known.get(core) or self.words.older.get(core)):
+                return met + tail
+        lead, body = (self.marks["\n"], core[1:]) if core[:1] == "\n" else (b"", core)
+        if body.isalpha() and (body.isascii() or max(body) < "\u2000"):
+            shown = body.translate(self.characters)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown if lead else self.characters[32] + shown)]).tobytes()
+            return lead + found + tail
+        return self._library(word if word[:1] == "\n" else " " + word)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native 32-bit integers: of its first pieces, then of the words behind a blank or line end."""
