@@ -138,6 +138,28 @@ def provenance(facts):
     return facts.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
+#: Columns of a source record besides its keys, with their types and what they are where they are absent or null.
+SOURCE_COLUMNS = {
+    "url": ("string", ""), "content_hash": ("string", ""), "page_type": ("string", ""), "method": ("string", ""), "ai_model": ("string", None), "confidence": ("double", 0.0),
+    "tokens_input": ("long", None), "tokens_output": ("long", None), "processing_time_ms": ("long", None), "cache_hit": ("boolean", False),
+}
+
+
+def source_records(facts, data: str = "data"):
+    """provenance() of facts (id, entity_type, entity_id and a map of values) with fields_extracted, the sorted names of the
+    fields that the source gave (an empty list for a null map), and what it cost; absent columns and nulls have defaults."""
+    filled = lambda c, kind, default: F.coalesce(F.col(c).cast(kind) if c in facts.columns else F.lit(None).cast(kind), F.lit(default).cast(kind)).alias(c)
+    given = F.coalesce(F.array_sort(F.map_keys(F.map_filter(data, lambda _, v: v.isNotNull()))), F.array().cast("array<string>"))
+    rows = facts.select("id", "entity_type", "entity_id", *[filled(c, *of) for c, of in SOURCE_COLUMNS.items()], given.alias("fields_extracted"))
+    return provenance(rows)
+
+
+def source_costs(records, by=("method",)):
+    """What the sources of each group cost: records, those out of the cache, tokens in and out, milliseconds, fields."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return records.groupBy(*by).agg(F.count("*").alias("records"), F.count_if("cache_hit").alias("cache_hits"), *map(total, ("tokens_input", "tokens_output", "processing_time_ms")), F.sum(F.size("fields_extracted")).alias("fields"))
+
+
 def seen_span(facts, by=("company_id",)):
     return facts.groupBy(*by).agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_updated"))
 

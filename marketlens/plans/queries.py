@@ -369,6 +369,19 @@ add("i5_change_hash", lambda t: entities.history_changes(states(t)).select("enti
 add("i6_change_feed", lambda t: entities.change_feed(entities.history_changes(states(t))).select("entity_id", "n", "created_at"), f"{LAGGED} SELECT entity_id, n, created_at FROM l WHERE p_n IS NOT NULL AND len({PARTS_OF}) > 0 ORDER BY created_at DESC, n DESC LIMIT 50")
 add("i7_provenance", lambda t: entities.provenance(t.facts.select("id", F.lit("Company").alias("entity_type"), F.col("company_id").alias("entity_id"), "url", F.col("market").alias("content_hash"), "method", "confidence")).select("id", "entity_id", "url", "method"),
     "SELECT id, company_id AS entity_id, url, method FROM facts QUALIFY row_number() OVER (PARTITION BY company_id, url, market ORDER BY id) = 1")
+
+
+def sourced(t: Tables) -> DataFrame:
+    """Source records of products: responses give a tag and cost the length of their bullet, and every third comes from the cache."""
+    ai = F.col("method") == "ai"
+    facts = t.facts.withColumns({"tag": F.when(ai, F.col("tag")), "tokens_input": F.when(ai, F.length("bullet")), "cache_hit": ai & (F.col("id") % 3 == 0)})
+    return entities.source_records(facts.select("id", F.lit("Product").alias("entity_type"), F.col("name").alias("entity_id"), "url", F.nullif("market", F.lit("P")).alias("content_hash"), "page_type", "method", "confidence", "tokens_input", "cache_hit", entities.payload(["stage", "tag", "bullet"]).alias("data")))
+
+
+SOURCED = "(SELECT id, name AS entity_id, url, CASE WHEN market = 'P' THEN '' ELSE market END AS content_hash, method, confidence, CASE WHEN method = 'ai' THEN 'bullet,stage,tag' ELSE 'bullet,stage' END AS fields_extracted, CASE WHEN method = 'ai' THEN length(bullet) END AS tokens_input, method = 'ai' AND id % 3 = 0 AS cache_hit FROM facts QUALIFY row_number() OVER (PARTITION BY name, url, market ORDER BY id) = 1)"
+add("i7_source_records", lambda t: sourced(t).select("id", "entity_id", "url", "content_hash", "method", "confidence", F.array_join("fields_extracted", ",").alias("fields_extracted"), "tokens_input", "cache_hit"), f"SELECT * FROM {SOURCED} q")
+add("i7_source_costs", lambda t: entities.source_costs(sourced(t)),
+    f"SELECT method, count(*) AS records, count(*) FILTER (WHERE cache_hit) AS cache_hits, coalesce(sum(tokens_input), 0)::BIGINT AS tokens_input, 0::BIGINT AS tokens_output, 0::BIGINT AS processing_time_ms, sum(len(string_split(fields_extracted, ',')))::BIGINT AS fields FROM {SOURCED} q GROUP BY method")
 add("i8_seen_span", lambda t: entities.seen_span(t.facts, ("company_id", "name")), "SELECT company_id, name, min(seen_at) AS first_seen, max(seen_at) AS last_updated FROM facts GROUP BY ALL")
 add("i9_state_as_of", lambda t: entities.latest_snapshots(t.versions, "1998-01-01 00:00:00").select("entity_id", "n", "status"), "SELECT entity_id, n, status FROM versions WHERE created_at <= TIMESTAMP '1998-01-01 00:00:00' QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, n DESC) = 1")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import checks, pages, patterns, responses, upserts
+from marketlens.operators import checks, entities, pages, patterns, responses, upserts
 from marketlens.storage import Published
 
 OLD = "id string, natural_key string, name string, price int"
@@ -144,3 +144,14 @@ def test_product_tables_of_odd_responses(spark):
     got = {r.name: r for r in products.where("id = 1").collect()}
     assert set(got) == {"A", "B"} and got["A"].stage == "ga" and {k: v.value for k, v in got["A"].specs.items()} == {"w": "1.5", "o": '{"x":1}'} and got["A"].markets == ["EU"] and got["B"].category == "unknown" and got["B"].specs == {}
     assert listed(capabilities, "id", "product", "pos", "name", "definition", "category") == [(1, "A", 1, "c", None, "general")] and products.where("id > 1").isEmpty()
+
+
+def test_source_records_have_defaults(spark):
+    rows = "id long, entity_type string, entity_id string, url string, data map<string,string>"
+    facts = spark.createDataFrame([(2, "Product", "a", None, {"b": "1", "a": "2", "c": None}), (3, "Product", "a", "", None), (1, "Product", "b", "u", None)], rows)
+    got = {r.id: r for r in entities.source_records(facts).collect()}
+    assert set(got) == {1, 2}  # a null address is an empty one, so the second record of "a" repeats the first
+    assert got[2].fields_extracted == ["a", "b"] and got[1].fields_extracted == [] and (got[1].confidence, got[1].cache_hit, got[1].ai_model, got[1].tokens_input) == (0.0, False, None, None)
+    cost = entities.source_costs(entities.source_records(facts)).first()
+    assert (cost.records, cost.cache_hits, cost.tokens_input, cost.fields) == (2, 0, 0, 2)
+    assert entities.source_costs(entities.source_records(facts.limit(0))).count() == 0
