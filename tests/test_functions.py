@@ -1,5 +1,7 @@
 """Golden cases: small literal tables, values worked out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,18 @@ def test_repair_of_responses(spark):
     assert df.select(responses.unwrap(F.col("content"))).collect()[5][0] == "hi"
 
 
+def test_long_responses_are_repaired_in_linear_time(spark):
+    n = 40_000
+    texts = ["a" * n, "{" * n, "```" + " " * n, '{"a": 1' + " " * n + '"b"', '{"a": "x"' + "\n" * n + "b", "{" + '"score" ' * (n // 8) + "{", '{bad} {"score": 1} ' + "a" * n, '["a"' + "\n" * n + '"b"] {"c": ["a" ' + "\n" * n + ' "b"]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string").coalesce(1)
+    began = time.time()
+    got = {r.id: r.step for r in responses.parse_responses(df).select("id", "step").collect()}
+    assert time.time() - began < 30  # a search from every character takes minutes
+    assert got == dict.fromkeys(range(6)) | {6: "last_object", 7: "missing_commas"}
+    gaps = ['{"a": "x"\n\n "b": 1}', '{"a": "x"  "b": 1}', '{"a": ["x" \n "y"]}']
+    assert [r.step for r in responses.parse_responses(spark.createDataFrame(list(enumerate(gaps)), "id long, content string")).orderBy("id").collect()] == ["missing_commas", None, "missing_commas"]
+
+
 def test_merge_is_idempotent_and_equal_states_do_not_change(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id long, name string, note string")
     new = spark.createDataFrame([(2, "b", None), (3, "c", "y")], "id long, name string, note string")
