@@ -122,6 +122,15 @@ def test_long_responses_are_repaired_in_linear_time(spark):
     assert [r.step for r in responses.parse_responses(spark.createDataFrame(list(enumerate(gaps)), "id long, content string")).orderBy("id").collect()] == ["missing_commas", None, "missing_commas"]
 
 
+@pytest.mark.parametrize("n", [1_000, 20_000, 150_000])
+def test_united_sketches_keep_their_promise(spark, n):
+    columns = [f"c{i}" for i in range(20)]
+    df = spark.range(n).select("id", *[F.concat(F.lit(f"Supplier#{c}-"), "id").alias(c) for c in columns])
+    halves = [stats.profile_sketches(df.where(f"id % 2 = {k}"), columns) for k in (0, 1)]
+    got = stats.profile_estimates(stats.merge_profiles(halves[0].unionByName(halves[1]))).collect()
+    assert len(got) == 20 and max(abs(r.different - n) / n for r in got) <= 0.02
+
+
 def test_merge_is_idempotent_and_equal_states_do_not_change(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id long, name string, note string")
     new = spark.createDataFrame([(2, "b", None), (3, "c", "y")], "id long, name string, note string")
