@@ -131,6 +131,18 @@ def test_united_sketches_keep_their_promise(spark, n):
     assert len(got) == 20 and max(abs(r.different - n) / n for r in got) <= 0.02
 
 
+def test_facts_of_long_texts_in_linear_time(spark):
+    n = 100_000
+    words, lines = "service " + "word " * n, "robot api\n" + "line\n" * n
+    texts = [words, lines, "b" * n + "bot", "x" * n, "1" * n + " core", "plan " * n, "Some robot" + " word" * n, "a. " + "word " * n + "API service\nNext Great Cleaner " + "word " * n, "x ab1-Cd2 CleanBotics 12.345 per month"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    began = time.time()
+    got = {r.id: r for r in pages.product_facts(df).collect()}
+    assert time.time() - began < 60  # a search from every word, line or character takes much longer
+    assert [len(got[i].name or "") for i in range(9)] == [0, 5 * n + 9, n + 3, 0, 0, 0, len(texts[6]) - 5, len("Next Great Cleaner"), 8]
+    assert got[4].cpu_cores == "1" * n and got[5].pricing_table is None and (got[8].name, got[8].per_month_pricing) == ("CleanBot", "345")
+
+
 def test_merge_is_idempotent_and_equal_states_do_not_change(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id long, name string, note string")
     new = spark.createDataFrame([(2, "b", None), (3, "c", "y")], "id long, name string, note string")
