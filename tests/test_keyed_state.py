@@ -66,6 +66,15 @@ def test_state_starts_from_snapshots(spark, tmp_path):
     assert found(spark, at["out"]) == [("a", 4, 5, [("name", "A1", "A2", "modified")])]
 
 
+def test_large_numbers_and_many_entities_in_a_batch(spark, tmp_path):
+    n = 2**53 + 1  # no double holds it
+    rows = states(spark, [(f"e{i}", k, {"name": f"v{k}"}) for i in range(3000) for k in (1, 0)]).withColumn("n", F.col("n") * 2 + n)
+    feed(rows, str(tmp_path / "in"))
+    query = changes.write_changes(spark.readStream.schema(STATE).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    assert found(spark, str(tmp_path / "out")) == sorted((f"e{i}", n, n + 2, [("name", "v0", "v1", "modified")]) for i in range(3000))
+
+
 def test_batches_in_order_give_the_batch_form(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"e{rng.randrange(5)}", n, {f: str(rng.randrange(3)) for f in rng.sample(["name", "status", "version", "pricing"], rng.randrange(1, 5))}) for n in range(1, 90)]
