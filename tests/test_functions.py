@@ -166,6 +166,26 @@ def test_reach_takes_the_least_depth(spark):
     assert graph.reach(spark.createDataFrame([("a",)], "url string"), links, 2, max_pages=2).count() == 2
 
 
+def test_reach_rewrites_each_spelling_and_tests_each_reached_one_once(spark, monkeypatch):
+    ends = [f"https://www.x.com/{i}" for i in range(12)]
+    links = spark.createDataFrame([(a, b) for a in ends for b in ends], "from_url string, to_url string")
+    calls = {name: spark.sparkContext.accumulator(0) for name in ("canonical_url", "skip_reason")}
+
+    def counted(name, value):
+        def run(u):
+            calls[name].add(1)
+            return value(u)
+
+        return F.udf(run, "string")
+
+    monkeypatch.setattr(graph.urls, "canonical_url", counted("canonical_url", lambda u: u.replace("www.", "")))
+    monkeypatch.setattr(graph.urls, "skip_reason", counted("skip_reason", lambda u: "odd" if u.endswith("3") else None))
+    got = graph.reach(spark.createDataFrame([(ends[0],), (ends[0],)], "url string"), links, 2)
+    assert {r.url: r.depth for r in got.collect()} == {e.replace("www.", ""): int(e != ends[0]) for e in ends if not e.endswith("3")}
+    assert calls["canonical_url"].value == 12 + 1
+    assert calls["skip_reason"].value == 1 + 11 + 1  # the seed, the others, and again the one that was skipped
+
+
 def test_lookups_and_pages(spark):
     df = spark.createDataFrame([(str(i),) for i in range(60)], "id string")
     with pytest.raises(LookupError):
