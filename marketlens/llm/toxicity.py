@@ -92,10 +92,21 @@ class Scorer:
         return float(np.concatenate(pooled) @ model.out + model.out_bias)
 
 
+def in_one(texts: list[np.ndarray], of) -> list[np.ndarray]:
+    """of(t) for each of texts, which has no more values than t, as views of one array: its memory goes back whole, that of many small ones stays with the process."""
+    held, at, out = np.empty(sum(t.size for t in texts), np.int32), 0, []
+    for t in texts:
+        made = of(t)
+        out.append(held[at : at + made.size].reshape(made.shape))
+        out[-1][...] = made
+        at += made.size
+    return out
+
+
 def _fit(texts: list[np.ndarray], y: np.ndarray, seed: int, epochs: int, rate: float = 0.01, least_docs: int = 4):
     """Adam on the pooled positions; texts are arrays (words, 3) of buckets. Returns the model and logits' parts."""
     rng = np.random.default_rng(seed)
-    per_doc = [np.unique(t) for t in texts]
+    per_doc = in_one(texts, np.unique)
     known, n = np.unique(np.concatenate([*per_doc, np.zeros(1, np.int32)]), return_counts=True)
     pos = np.zeros(len(known))
     toxic, times = np.unique(np.concatenate([*[d for d, label in zip(per_doc, y, strict=True) if label], np.zeros(0, np.int32)]), return_counts=True)
@@ -110,7 +121,7 @@ def _fit(texts: list[np.ndarray], y: np.ndarray, seed: int, epochs: int, rate: f
     for x in w:
         x[:, 0] = np.abs(x[:, 0])
     model = Model(known, [], [np.zeros(FILTERS) for _ in WIDTHS], np.full(FILTERS * len(WIDTHS), 0.3), float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
-    docs = [model.rows(t).astype(np.int32) for t in texts]
+    docs = in_one(texts, model.rows)
     del per_doc, n, pos, frequent
     params = [e, *w, *model.bias, model.out]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0

@@ -52,3 +52,13 @@ def test_scorer_agrees_with_training_form():
     model = toxicity._fit(hashed, y, 1, 4)
     scorer = toxicity.Scorer(model)
     assert np.allclose([scorer.logit(t) for t in texts], [toxicity._logit_of(model, h) for h in hashed], atol=1e-4)
+
+
+def test_training_copies_share_one_array():
+    """Small arrays would leave their memory with the driver's process."""
+    texts = [np.arange(6).reshape(-1, 3) * k for k in range(4)] + [np.zeros((0, 3), np.int32)]
+    kept = toxicity.in_one(texts, lambda t: t + 1)
+    assert all((a == b + 1).all() and a.shape == b.shape for a, b in zip(kept, texts, strict=True))
+    distinct = toxicity.in_one(texts, np.unique)
+    assert [len(d) for d in distinct] == [len(np.unique(t)) for t in texts]
+    assert len({id(a.base) for a in kept}) == len({id(a.base) for a in distinct}) == 1
