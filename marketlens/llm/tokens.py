@@ -50,7 +50,7 @@ MAGIC = b"MLTOKEN1"
 HEADER, BLOCK_HEADER = struct.Struct("<8s6I"), struct.Struct("<4I")
 #: Characters of text that are encoded by one call, and pieces of text whose ids are remembered in each of two generations.
 CALL_CHARS, KNOWN, KNOWN_LENGTH = 4_000_000, 700_000, 64
-PLAIN = "part int, section int, names array<bigint>, sizes array<bigint>, ids binary, wide boolean"
+PLAIN = "part int, section int, names array<bigint>, sizes array<bigint>, ids binary, wide boolean, counts binary"
 PLACED = "part int, section int, file string, at long, bytes long, n_docs long, n_tokens long"
 KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -157,12 +157,13 @@ class Encoder:
             words = []
             if not self.in_pieces or any(c in t for c in OTHER_SPACE):
                 start = [t]
-            elif any(d in t for d in DOUBLE):
-                start = PIECE.findall(t)
             else:
                 words = t.replace("\n", " \n").split(" ")
                 start = words[:1]
                 del words[:1]
+                # an empty word or a bare line end is left where a text has two blanks or line ends together, or ends
+                if ("" in words or "\n" in words or start == ["\n"]) and any(d in t for d in DOUBLE):
+                    start, words = PIECE.findall(t), []
             first.append(start)
             rest.append(words)
         return [a + b for a, b in zip(self.pieces(first), self.words(rest), strict=True)]
@@ -212,13 +213,14 @@ def code(ids: np.ndarray, model: Table) -> list[tuple[np.ndarray, np.ndarray, np
     words, owner, emitted, marks = [], [], np.zeros(blocks, np.int64), []
     for t in reversed(range(steps)):
         f, c = model.freq[ids[:, t]], model.low[ids[:, t]]
-        full = x >= f << shift
-        block, lane = np.nonzero(full)
-        if len(block):
-            words.append(x[block, lane].astype(np.uint32))
+        full = np.flatnonzero(x >= f << shift)
+        if len(full):
+            flat, block = x.reshape(-1), full // LANES
+            large = flat[full]
+            words.append(large.astype(np.uint32))
             owner.append(block)
             emitted += np.bincount(block, minlength=blocks)
-            x[block, lane] >>= WORD_BITS
+            flat[full] = large >> WORD_BITS
         whole = x // f
         x = (whole << np.uint64(SCALE)) + (x - whole * f) + c
         if t % STEPS == 0:
@@ -242,11 +244,12 @@ def decode(states: np.ndarray, at: np.ndarray, steps: np.ndarray, words: np.ndar
         out[:n, t] = s
         y = model.freq[s] * (x[:n] >> scale) + slot - model.low[s]
         low = y < LOW
-        rank = np.cumsum(low, axis=1)
-        unit, lane = np.nonzero(low)
-        y[unit, lane] = (y[unit, lane] << WORD_BITS) | words[at[unit] + rank[unit, lane] - 1]
+        each, small, flat = np.count_nonzero(low, axis=1), np.flatnonzero(low), y.reshape(-1)
+        # the words of a unit follow each other from its place on
+        place = np.repeat(at[:n] - np.cumsum(each) + each, each) + np.arange(len(small))
+        flat[small] = (flat[small] << WORD_BITS) | words[place]
         x[:n] = y
-        at[:n] += rank[:, -1]
+        at[:n] += each
     return out
 
 
@@ -353,14 +356,18 @@ def _rows(rows: list[tuple], fields: str) -> pa.RecordBatch:
 
 def sections(scratch: Scratch, docs: DataFrame, model_path: str | None = None, end: int = END) -> DataFrame:
     """The ids of docs in the order of doc_id, as stored sections (part, section, names, sizes, ids): ids are little-endian
-    integers of 16 bits, of 32 where wide; parts are ranges in their order."""
+    integers of 16 bits, of 32 where wide; parts are ranges in their order. The last section of a part has the numbers
+    of all its ids in counts, integers of 64 bits by id, so that no second pass over the ids counts them."""
     path = model_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, names, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        counts, last = np.zeros(0, np.int64), None
 
         def row() -> tuple:
+            nonlocal counts
             ids = np.concatenate(texts)
+            counts = _added(counts, np.bincount(ids))
             wide = bool(ids.max() > 0xFFFF)
             return part, number, names, [len(t) for t in texts], ids.astype("<u4" if wide else "<u2").tobytes(), wide
 
@@ -370,10 +377,16 @@ def sections(scratch: Scratch, docs: DataFrame, model_path: str | None = None, e
                 texts.append(np.append(inner, np.uint32(end)))
                 held += len(texts[-1])
                 if held >= SECTION:
-                    yield _rows([row()], PLAIN)
+                    if last:
+                        yield _rows([(*last, None)], PLAIN)
+                    last = row()
                     number, names, texts, held = number + 1, [], [], 0
         if names:
-            yield _rows([row()], PLAIN)
+            if last:
+                yield _rows([(*last, None)], PLAIN)
+            last = row()
+        if last:
+            yield _rows([(*last, counts.astype("<i8").tobytes())], PLAIN)
 
     keys = ("doc_id", "__of", "__row")
     numbered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("__of"), F.monotonically_increasing_id().alias("__row"))
@@ -381,6 +394,13 @@ def sections(scratch: Scratch, docs: DataFrame, model_path: str | None = None, e
     return scratch.save(ordered.mapInArrow(run, PLAIN))
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays, of which the shorter one counts as filled with zeros."""
+    a, b = (a, b) if len(a) >= len(b) else (b.copy(), a)
+    a[: len(b)] += b
+    return a
+
+
 def _ids(blob: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(blob, "<u4" if wide else "<u2").astype(np.uint32, copy=False)
 
@@ -391,14 +411,12 @@ def frequencies(plain: DataFrame) -> Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1, np.int64)
         for batch in batches:
-            for blob, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.bincount(_ids(blob, wide), minlength=len(counts))
-                more[: len(counts)] += counts
-                counts = more
+            for blob in batch.column(0).to_pylist():
+                counts = _added(counts, np.frombuffer(blob, "<i8"))
         seen = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["token", "n"])
 
-    rows = plain.select("ids", "wide").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = plain.select("counts").where("counts is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.token for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r.token] = r.n
@@ -431,7 +449,7 @@ def write(scratch: Scratch, plain: DataFrame, model: Table) -> DataFrame:
                 out.close()
         yield _rows(rows, PLACED)
 
-    placed = scratch.save(plain.select(*[f.split()[0] for f in PLAIN.split(", ")]).mapInArrow(run, PLACED))
+    placed = scratch.save(plain.select("part", "section", "names", "sizes", "ids", "wide").mapInArrow(run, PLACED))
     parts = placed.groupBy("part").agg(F.sum("n_tokens").alias("all"))
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before("all", Window.orderBy("part")).alias("earlier"))

@@ -118,3 +118,19 @@ def test_files_of_repeated_attempts_are_not_read(spark, sf):
     with files.open_output_stream(f"{place}/part-000000-lost.tokens") as f:
         f.write(b"half a file")
     assert len(tokens.read(placed, model).collect()) == 50
+
+
+def test_ids_are_counted_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Each part's last section has the numbers of the part's ids; the ids are not read again for the table."""
+    monkeypatch.setattr(tokens, "SECTION", 40)
+    plain = tokens.sections(Scratch(spark, "t"), docs_of(spark, [None, "some words of a text\n\nhere"] + ["more words, and more of them"] * 30))
+    rows = plain.collect()
+    counted = [np.frombuffer(r.counts, "<i8") for r in rows if r.counts]
+    assert len(rows) > len(counted) == len({r.part for r in rows})
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4" if r.wide else "<u2") for r in rows])
+    total = np.zeros(max(map(len, counted)), np.int64)
+    for c in counted:
+        total[: len(c)] += c
+    assert (total == np.bincount(ids)).all()
+    model = tokens.frequencies(plain)
+    assert (model.freq == tokens.Table(total).freq).all()
