@@ -112,25 +112,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _bytes(texts: pa.Array) -> list[bytes]:
+    """The texts as they are in memory, without a string of each."""
+    return texts.cast(pa.binary()).to_pylist()
+
+
 def stretches(units: DataFrame) -> DataFrame:
     """(h, doc, at) of units (doc, text): the hash of the stretch behind each anchor and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from xxhash import xxh3_64_digest as digest
 
         def batch_of(docs, spots, hs):
-            return pa.record_batch([pa.array(hs, pa.int64()), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(spots), pa.int32())], names=["h", "doc", "at"])
+            hashes = np.frombuffer(b"".join(hs), ">i8").astype(np.int64)
+            return pa.record_batch([pa.array(hashes), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(spots), pa.int32())], names=["h", "doc", "at"])
 
         for batch in batches:
             docs, spots, hs = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
+            for doc, raw in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
                 at = minima(raw)
                 if not len(at):
                     continue
                 x = at[np.concatenate(([True], np.diff(at) > 0))]
                 x = x[x + CORE <= len(raw)]
-                hs += [_signed(xxhash.xxh3_64_intdigest(raw[p : p + CORE])) for p in x.tolist()]
+                hs += [digest(raw[p : p + CORE]) for p in x.tolist()]
                 spots.append(x)
                 docs.append(np.full(len(x), doc))
                 if len(hs) > 200_000:
@@ -162,8 +167,7 @@ def neighbourhoods(units: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for doc, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            for doc, raw, spots in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 at = minima(raw)[: len(raw) - LENGTH + 1]
                 spots = np.sort(np.array(spots, np.int64))
                 begin, end = np.searchsorted(at, spots), np.searchsorted(at, spots, "right")
@@ -190,8 +194,7 @@ def cut_out(units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            for doc, raw, parts in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 rows += [(doc, p["first"], p["n"], p["left"], p["held"], raw[p["first"] : p["first"] + p["n"] - 1 + LENGTH]) for p in parts]
             if rows:
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
@@ -208,9 +211,8 @@ def common_prefixes(rows: DataFrame) -> DataFrame:
             out = []
             for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 n = min(len(a), len(b or b""))
-                x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b or b"", np.uint8, n)
-                differ = np.flatnonzero(x != y)
-                out.append(int(differ[0]) if len(differ) else n)
+                differ = int.from_bytes(a[:n]) ^ int.from_bytes((b or b"")[:n])
+                out.append(n - (differ.bit_length() + 7) // 8)
             yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.int32())], names=["cid", "place", "part", "lcp"])
 
     return rows.select("cid", "place", "part", "tail", "before").mapInArrow(run, "cid long, place long, part long, lcp int")
@@ -246,18 +248,30 @@ def runs_of(scratch: Scratch, strings: DataFrame) -> DataFrame:
     return out
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the values of each row of a column of binaries or lists begin in all of them."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column)].astype(np.int64)
+
+
 def windows(strings: DataFrame) -> DataFrame:
     """(run, before, cid, at): each window of strings (cid, n, left, raw, runs) with its run and its bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs, before, cids, ats = [], [], [], []
-            for cid, n, left, raw, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs += [of[left - at] for at in range(n)]
-                before += [raw[at:left] for at in range(n)]
-                cids += [cid] * n
-                ats += range(n)
-            yield pa.record_batch([pa.array(runs, pa.int64()), pa.array(before, pa.binary()), pa.array(cids, pa.int64()), pa.array(ats, pa.int32())], names=["run", "before", "cid", "at"])
+        for batch in (whole.slice(k, 2000) for whole in batches for k in range(0, whole.num_rows, 2000)):
+            cid, n, left = (batch.column(k).to_numpy() for k in range(3))
+            raw, runs = batch.column(3), batch.column(4)
+            n = n.astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            size = left[of] - at
+            # the bytes of all windows before their anchors, one behind the other
+            ends = np.cumsum(size)
+            starts = _offsets(raw)[of] + at
+            places = np.repeat(starts - (ends - size), size) + np.arange(size.sum())
+            held = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[places]
+            before = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(held)])
+            run = runs.values.to_numpy()[_offsets(runs)[of] + size]
+            yield pa.record_batch([pa.array(run), before, pa.array(cid[of]), pa.array(at.astype(np.int32))], names=["run", "before", "cid", "at"])
 
     return strings.select("cid", "n", "left", "raw", "runs").mapInArrow(run, "run long, before binary, cid long, at int")
 
@@ -290,8 +304,7 @@ def removal(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            for doc_id, raw, copies, ranges in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 spans: list[list[int]] = []
                 if copies > 1 and len(raw) >= LENGTH:
                     spans = [[0, len(raw)]]

@@ -85,3 +85,19 @@ def test_the_order_of_suffixes_decides(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "suffix_order", disturbed)
     with pytest.raises(AssertionError):
         check(spark, docs_of(spark, texts), dict(enumerate(texts)))
+
+
+def test_windows_are_cut_for_a_whole_batch(spark):
+    """Each window with its run and its bytes before the anchor; no loop over windows in Python."""
+    rows = [(7, 3, 5, b"abcdefgh", list(range(100, 156))), (8, 1, 0, b"xyz", list(range(200, 256))), (9, 2, 55, bytes(range(60)), list(range(56)))]
+    strings = spark.createDataFrame(rows, "cid long, n int, left int, raw binary, runs array<long>").coalesce(1)
+    got = [(r.run, bytes(r.before), r.cid, r.at) for r in suffixes.windows(strings).collect()]
+    assert sorted(got, key=str) == sorted(((of[left - at], raw[at:left], cid, at) for cid, n, left, raw, of in rows for at in range(n)), key=str)
+    assert suffixes.windows(strings.limit(0)).count() == 0
+    assert not [c for c in suffixes.windows.__code__.co_consts if getattr(c, "co_name", "") == "run" and "to_pylist" in c.co_names]
+
+
+def test_common_prefixes(spark):
+    pairs = [(b"abc", b"abd"), (b"abc", b"abc"), (b"abc", b"ab"), (b"", b"x"), (b"\x00\x00a", b"\x00\x00b"), (b"x", None), (b"a" * 300, b"a" * 299 + b"b")]
+    rows = spark.createDataFrame([(i, i, 0, *p) for i, p in enumerate(pairs)], "cid long, place long, part long, tail binary, before binary")
+    assert {r.cid: r.lcp for r in suffixes.common_prefixes(rows).collect()} == dict(enumerate([2, 3, 2, 0, 2, 0, 299]))
