@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.shared import Scratch, bucket_of, labelled, labelled_sample, table
+from marketlens.llm.shared import Scratch, bucket_of, give_back, labelled, labelled_sample, table
 
 #: Rows of the labelled sample that the classifier is fitted on, at most, by class.
 POSITIVES, NEGATIVES = 2500, 4500
@@ -257,7 +257,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def trained(spark, sf_dir: str, docs: DataFrame) -> Model:
     share = labelled(spark, sf_dir, "toxic", MODULUS, HELD).where("y in (0, 1)").agg(F.avg("y")).first()[0]
-    return train(docs, labelled_sample(spark, sf_dir, "toxic", MODULUS, HELD, POSITIVES, NEGATIVES), prior=share)
+    model = train(docs, labelled_sample(spark, sf_dir, "toxic", MODULUS, HELD, POSITIVES, NEGATIVES), prior=share)
+    give_back()  # the pipeline's later stages run in this process
+    return model
 
 
 def query(spark, sf_dir: str) -> DataFrame:
